@@ -1,0 +1,17 @@
+"""The registered queries of the core, by name, and the same in SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veldspar.session import table
+
+
+def row_count(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "chunks").agg(F.count(F.lit(1)).alias("n"))
+
+
+FLAGSHIP = "row_count"
+QUERIES = {"row_count": row_count}
+SQL = {"row_count": "SELECT count(*) AS n FROM chunks"}
