@@ -75,31 +75,57 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+BITMAP_WORDS = 2
+
+
+def _bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128-bit bitmaps of the sets, as two columns of 64 bits."""
+    rows = np.flatnonzero(np.diff(offsets))
+    out = np.zeros((len(rows), BITMAP_WORDS), np.uint64)
+    if len(rows):
+        bit = np.uint64(1) << (values & np.uint64(63))
+        word = (values >> np.uint64(6)) % np.uint64(BITMAP_WORDS)
+        for k in range(BITMAP_WORDS):
+            out[:, k] = np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), offsets[rows])
+    return out.view(np.int64)
+
+
 def _bags(n: int, least: int, multiset: bool):
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             values, offsets, counts = shingle_sets(texts, n, least, hashes)
             if multiset:  # the i-th occurrence of a shingle is an element of its own, so plain set overlap is multiset overlap
                 occurrence = np.concatenate([np.arange(c) for c in counts]) if len(counts) else np.empty(0, np.int64)
                 values = mix(np.repeat(values, counts) + occurrence.astype(np.uint64) * GOLDEN)
                 offsets = np.concatenate([[0], np.cumsum(counts)])[offsets]
             short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            rows = np.flatnonzero(np.diff(offsets))
-            cls = [xxhash.xxh3_128_digest(values[offsets[i] : offsets[i + 1]].tobytes()) for i in rows]
-            lists = to_lists(short, offsets, pa.int32()).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(cls, pa.binary()), lists], names=["id", "cls", "bag"])
+            some = np.diff(offsets) > 0
+            cls = [xxhash.xxh3_128_digest(values[offsets[i] : offsets[i + 1]].tobytes()) if some[i] else None for i in range(len(texts))]
+            maps = np.zeros((len(texts), BITMAP_WORDS), np.int64)
+            maps[some] = _bitmaps(values, offsets)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(cls, pa.binary()), to_lists(short, offsets, pa.int32()), pa.array(maps[:, 0]), pa.array(maps[:, 1])],
+                names=["id", "version", "cls", "bag", "m0", "m1"],
+            )
 
     return run
 
 
 def bags(df: DataFrame, shingle: int = 5, least_words: int = 8, multiset: bool = False) -> DataFrame:
-    """``(id, cls, bag)`` of ``(id, text)``: 32-bit hashes of the word shingles and a digest equal for equal bags.
+    """``(id, version, cls, bag, m0, m1)`` of ``(id, version, text)``: 32-bit hashes of the word shingles, their bitmap, and a digest equal for equal bags.
 
-    Null, empty and short texts have no row.
+    Null, empty and short texts have a null digest and an empty bag.
     """
-    return df.select("id", "text").mapInArrow(_bags(shingle, least_words, multiset), "id string, cls binary, bag array<int>")
+    schema = "id string, version bigint, cls binary, bag array<int>, m0 bigint, m1 bigint"
+    return df.select("id", "version", "text").mapInArrow(_bags(shingle, least_words, multiset), schema)
+
+
+def keep_by(df: DataFrame, keys: DataFrame, column: str, how: str, most: int = 500_000) -> DataFrame:
+    """A semi or anti join that broadcasts the keys where a count shows them to be few, and shuffles beyond."""
+    few = keys.limit(most + 1).count() <= most
+    return df.join(F.broadcast(keys) if few else keys, column, how)
 
 
 def _bands(bands: int, rows: int):
@@ -119,7 +145,7 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _bucket_pairs(cap: int):
+def bucket_pairs(cap: int):
     """Pairs of each run of equal keys in a sorted partition; a run above ``cap`` comes out as (key, member) rows with hot set.
 
     A run is never held: what is kept of it are its first ``cap`` members.
@@ -177,12 +203,23 @@ def _bucket_pairs(cap: int):
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    bag = reps.select("rid", "bag")
-    both = pairs.join(bag.select(F.col("rid").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("rid").alias("b"), F.col("bag").alias("y")), "b")
-    low = F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))
+def verified(pairs: DataFrame, reps: DataFrame, threshold: float, work: Workspace) -> DataFrame:
+    """The pairs ``(a, b)`` whose bags in ``reps(rid, bag, m0, m1)`` have a Jaccard of at least ``threshold``.
+
+    Sizes and bitmaps bound the overlap from above (each bit set in one bitmap alone is an element of one bag alone), so
+    most false candidates go before the bags themselves are moved; the bound loses nothing.
+    """
+    small = lambda x: reps.select(F.col("rid").alias(x), F.size("bag").alias(f"n{x}"), F.col("m0").alias(f"p{x}"), F.col("m1").alias(f"q{x}"))
+    both = pairs.join(small("a"), "a").join(small("b"), "b")
+    total = F.col("na") + F.col("nb")
+    apart = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
+    most = F.least((total - apart) / 2, "na", "nb")
+    likely = work.cut(both.where(most >= threshold * (total - most) - 1e-9).select("a", "b"), "likely")
+    needed = likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    bag = keep_by(reps.select("rid", "bag"), needed, "rid", "left_semi")
+    both = likely.join(bag.select(F.col("rid").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("rid").alias("b"), F.col("bag").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(low).withColumn("common", common).where(F.col("common") >= threshold * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    return both.withColumn("common", common).where(F.col("common") >= threshold * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b")
 
 
 def near_duplicate_groups(
@@ -198,35 +235,39 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """``(id, cls, rep, group_id)``: one row for every record ``(id string, text string)`` that takes part.
 
+    With a column ``version``, the row of the greatest version of each id counts; of equal versions, or without it, one row.
     Records with equal bags of shingles form a class, whose least id is ``rep``; only representatives are hashed and banded,
     so copies, however many, cost one signature.  Representatives that share a band are verified by exact overlap of their
     bags, and ``group_id`` is the least id of all records connected through links of at least ``threshold``.
     Members of buckets of more than ``cap`` representatives are not paired off but joined exactly on their rarest shingles;
     where such a shingle is hot again, rounds link the members to a few leaders, and in the end only members of different
-    groups are compared with each other, so no link that would join two groups is lost.  Null ids, and null, empty or short texts, have no row; repeated ids are one record per content.
+    groups are compared with each other, so no link that would join two groups is lost.  Null ids, and null, empty or short texts, have no row; a repeated id is one record.
     Defaults are five words and 0.8; with 32 bands of 3 a pair of similarity 0.5 is found with a probability of 0.986.
     """
-    spark = df.sparkSession
-    every = work.cut(bags(df.where("id is not null"), shingle, least_words, multiset), "bags")
-    reps = every.groupBy("cls").agg(F.min(F.struct("id", "bag")).alias("r")).select("cls", F.col("r.id").alias("rep"), F.col("r.bag").alias("bag"))
-    reps = work.cut(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
+    version = F.col("version").cast("bigint") if "version" in df.columns else F.lit(0).cast("bigint")
+    rows_in = df.where("id is not null").select("id", version.alias("version"), "text")
+    every = work.cut(bags(rows_in, shingle, least_words, multiset).withColumn("rid", F.monotonically_increasing_id()), "bags")
+    # narrow from here: the latest version of each id, then the first record of each class
+    last = every.groupBy("id").agg(F.max(F.struct(F.coalesce("version", F.lit(-(2**63))).alias("v"), "cls", "rid")).alias("s"))
+    last = work.cut(last.select("id", "s.cls", "s.rid").where("cls is not null"), "latest")
+    classes = work.cut(last.groupBy("cls").agg(F.min("rid").alias("rid"), F.min("id").alias("rep")), "classes")
+    others = every.select("rid").join(classes.select("rid"), "rid", "left_anti")
+    reps = keep_by(every.select("rid", "bag", "m0", "m1"), work.cut(others, "others"), "rid", "left_anti")
     rows_ = reps.select("rid", "bag").mapInArrow(_bands(bands, rows), "key bigint, rid bigint")
-    found = rows_.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(cap), "a bigint, b bigint, hot boolean")
+    found = rows_.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_pairs(cap), "a bigint, b bigint, hot boolean")
     found = work.cut(found, "pairs")
-    edges = work.cut(_verified(found.where("not hot").select("a", "b").distinct(), reps, threshold), "edges")
+    edges = work.cut(verified(found.where("not hot").select("a", "b").distinct(), reps, threshold, work), "edges")
     hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("rid"))
     if not hot.isEmpty():
         edges = _hot_links(hot, edges, reps, threshold, cap, work)
     comp = work.cut(connected_components(edges, work), "components")
     # names: a group is called by the least id of its records
-    named = reps.select("cls", "rep", "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left")
-    named = named.withColumn("component", F.coalesce("component", "rid"))
+    named = classes.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     names = named.groupBy("component").agg(F.min("rep").alias("group_id"))
-    named = named.join(names, "component").select("cls", "rep", "group_id")
-    return every.select("id", "cls").distinct().join(named, "cls")
+    return last.select("id", "cls").join(named.join(names, "component").select("cls", "rep", "group_id"), "cls")
 
 
-def _prefixes(members: DataFrame, threshold: float) -> DataFrame:
+def prefixes(members: DataFrame, threshold: float) -> DataFrame:
     """``(key, rid)``: the rarest elements of each bag, as many as two bags of the given similarity must share one of.
 
     Bags x and y with a Jaccard of t share at least ceil(t|x|) elements, so, in one order of all elements, they share one
@@ -241,10 +282,10 @@ def _prefixes(members: DataFrame, threshold: float) -> DataFrame:
 
 def _hot_links(hot: DataFrame, edges: DataFrame, reps: DataFrame, threshold: float, cap: int, work: Workspace) -> DataFrame:
     """Edges with the links among members of hot buckets: an exact prefix join, and leaders where its buckets are hot again."""
-    members = reps.join(hot.select("rid").distinct(), "rid", "left_semi").select("rid", "bag")
-    keys = _prefixes(members, threshold).repartition("key").sortWithinPartitions("key")
-    found = work.cut(keys.mapInArrow(_bucket_pairs(cap), "a bigint, b bigint, hot boolean"), "hot-pairs")
-    edges = work.cut(edges.unionByName(_verified(found.where("not hot").select("a", "b").distinct(), reps, threshold)), "edges")
+    members = keep_by(reps.select("rid", "bag"), work.cut(hot.select("rid").distinct(), "hot"), "rid", "left_semi")
+    keys = prefixes(members, threshold).repartition("key").sortWithinPartitions("key")
+    found = work.cut(keys.mapInArrow(bucket_pairs(cap), "a bigint, b bigint, hot boolean"), "hot-pairs")
+    edges = work.cut(edges.unionByName(verified(found.where("not hot").select("a", "b").distinct(), reps, threshold, work)), "edges")
     members = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("rid"))
     if members.isEmpty():
         return edges
@@ -256,7 +297,7 @@ def _hot_links(hot: DataFrame, edges: DataFrame, reps: DataFrame, threshold: flo
         pairs = left.join(lead, "key").where("rid > a").select("a", F.col("rid").alias("b"))
         if pairs.isEmpty():
             break
-        new = work.cut(_verified(pairs.distinct(), reps, threshold), "leader-edges")
+        new = work.cut(verified(pairs.distinct(), reps, threshold, work), "leader-edges")
         edges = edges.unionByName(new)
         linked = left.join(lead, "key").join(new.select("a", F.col("b").alias("rid")), ["a", "rid"], "left_semi").select("key", "rid")
         gone = linked.union(lead.select("key", F.col("a").alias("rid"))).distinct()
@@ -269,7 +310,7 @@ def _hot_links(hot: DataFrame, edges: DataFrame, reps: DataFrame, threshold: flo
     x = placed.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"))
     y = placed.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"))
     across = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return work.cut(edges.unionByName(_verified(across, reps, threshold)), "edges-all")
+    return work.cut(edges.unionByName(verified(across, reps, threshold, work)), "edges-all")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

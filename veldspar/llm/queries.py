@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldspar.llm.batch_dedup import History
 from veldspar.llm.common import first_version
+from veldspar.llm.leaks import leaks
 from veldspar.llm.near_duplicates import group_pairs, near_duplicate_groups
+from veldspar.llm.packing import pack, token_counts
+from veldspar.llm.splitting import split_documents
 from veldspar.session import Workspace, table
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:
-    chunks = first_version(table(spark, root, "chunks"), "chunk_id", F.col("text"), F.col("ingest_seq"), latest=True)
-    corpus = first_version(table(spark, root, "robust_corpus"), "sample_id", F.col("text"), F.col("batch_no"))
-    return chunks.toDF("id", "text").unionByName(corpus.toDF("id", "text"))
+    chunks = table(spark, root, "chunks").select(F.col("chunk_id").alias("id"), F.col("ingest_seq").alias("version"), "text")
+    corpus = table(spark, root, "robust_corpus").select(F.col("sample_id").alias("id"), F.lit(0).cast("bigint").alias("version"), "text")
+    return chunks.unionByName(corpus)
 
 
 def p5_groups(spark: SparkSession, root: str) -> DataFrame:
@@ -27,5 +31,47 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return group_pairs(near_duplicate_groups(_records(spark, root), work, threshold=0.5, shingle=3))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+def _batches(spark: SparkSession, root: str) -> DataFrame:
+    part = F.lower(F.trim("domain"))
+    part = F.when(F.coalesce(part, F.lit("")) == "", "unknown").otherwise(part)
+    return table(spark, root, "robust_corpus").select(F.col("sample_id").alias("id"), part.alias("part"), F.col("batch_no").alias("ord"), "text")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """The first load builds the history; the batches after it come as one delivery and are merged with it."""
+    history = History(spark, None, threshold=0.5, shingle=3)
+    rows = _batches(spark, root)
+    loads = [history.add(rows.where("ord <= 0")), history.add(rows.where("ord > 0 or ord is null"))]
+    return loads[0].unionByName(loads[1]).where("rejected").select(F.col("id").alias("sample_id")).distinct()
+
+
+def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "corpus_docs")
+    docs = first_version(docs, "id", F.struct("text", "structure_type"), F.lit(0)).select("id", "value.text", "value.structure_type")
+    return split_documents(docs, table(spark, root, "chunking_config"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_pieces(spark, root).where("piece = 1").select("id")
+
+
+def p7_packing(spark: SparkSession, root: str) -> DataFrame:
+    counts = token_counts(table(spark, root, "documents"), "doc_id")
+    return pack(counts, "doc_id", Workspace(spark, "p7"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that fill a container of their own and need more: two or more pieces."""
+    return p7_packing(spark, root).where("piece = 1").select("doc_id")
+
+
+def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), Workspace(spark, "p8"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_leaks(spark, root).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p5_found, p5_groups, p7_found, p7_packing, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
