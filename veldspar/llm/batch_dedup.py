@@ -12,7 +12,7 @@ from veldspar.llm.common import GOLDEN, WordHashes, mix, shingle_sets, to_lists
 from veldspar.llm.near_duplicates import bucket_pairs, prefixes
 from veldspar.session import Workspace
 
-KEYS, DEPTH = 32, 3
+KEYS, DEPTH = 48, 3
 
 
 def _keyed(shingle: int, least: int, keys: int, depth: int):

@@ -32,7 +32,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, root: str) -> DataFrame:
-    part = F.lower(F.trim("domain"))
+    part = F.lower(F.regexp_replace("domain", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""))
     part = F.when(F.coalesce(part, F.lit("")) == "", "unknown").otherwise(part)
     return table(spark, root, "robust_corpus").select(F.col("sample_id").alias("id"), part.alias("part"), F.col("batch_no").alias("ord"), "text")
 
