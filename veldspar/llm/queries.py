@@ -10,6 +10,7 @@ from veldspar.llm.common import first_version
 from veldspar.llm.leaks import leaks
 from veldspar.llm.near_duplicates import group_pairs, near_duplicate_groups
 from veldspar.llm.packing import pack, token_counts
+from veldspar.llm.similar import most_similar
 from veldspar.llm.splitting import split_documents
 from veldspar.session import Workspace, table
 
@@ -45,6 +46,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return loads[0].unionByName(loads[1]).where("rejected").select(F.col("id").alias("sample_id")).distinct()
 
 
+def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return most_similar(table(spark, root, "chunks"), Workspace(spark, "p1"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    lo, hi = F.least("id", "neighbour"), F.greatest("id", "neighbour")
+    return p1_neighbours(spark, root).select(lo.alias("chunk_lo"), hi.alias("chunk_hi")).distinct()
+
+
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "corpus_docs")
     docs = first_version(docs, "id", F.struct("text", "structure_type"), F.lit(0)).select("id", "value.text", "value.structure_type")
@@ -73,5 +83,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_leaks(spark, root).where("kind = 'verbatim'").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p5_found, p5_groups, p7_found, p7_packing, p8_found, p8_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p5_found, p5_groups, p7_found, p7_packing, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
