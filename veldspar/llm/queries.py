@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm.batch_dedup import History
+from veldspar.llm.clusters import similarity_clusters
 from veldspar.llm.common import first_version
 from veldspar.llm.leaks import leaks
 from veldspar.llm.near_duplicates import group_pairs, near_duplicate_groups
@@ -65,6 +66,14 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).where("piece = 1").select("id")
 
 
+def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return similarity_clusters(table(spark, root, "chunks"), Workspace(spark, "p6"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_clusters(spark, root).select("cluster_id", F.col("id").alias("chunk_id"))
+
+
 def p7_packing(spark: SparkSession, root: str) -> DataFrame:
     counts = token_counts(table(spark, root, "documents"), "doc_id")
     return pack(counts, "doc_id", Workspace(spark, "p7"))
@@ -83,5 +92,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_leaks(spark, root).where("kind = 'verbatim'").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p5_found, p5_groups, p7_found, p7_packing, p8_found, p8_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p5_found, p5_groups, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
