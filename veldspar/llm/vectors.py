@@ -68,9 +68,9 @@ def _compact(make: Callable, d: int, columns: int, halves: int, width: int):
 class Vectors:
     """The latest usable vector of each id, compact, in a written table.
 
-    ``names``: ``(k, rid, cls, id)`` with ``k`` ascending as the ids; ``rows``: ``(rid, vec)``, of which a vector is 16-bit
-    block floats and scales.  ``copies`` are the ids of a vector beyond its first ``first`` ones: as neighbours they are never
-    needed, and their own nearest are those first ones at distance 0.
+    ``all``: ``(rid, vec, ...)`` of every row, of which a vector is 16-bit block floats and scales; ``names``: ``(rid, cls, id)``
+    of the latest usable ones, and ``heads`` those to be searched.  ``copies`` are the ids of a vector beyond its first
+    ``first`` ones: as neighbours they are never needed, and their own nearest are those first ones at distance 0.
     """
 
     def __init__(self, df: DataFrame, key: str, version: str, columns: list[str], make: Callable, d: int, halves: int, width: int, work: Workspace, first: int):
@@ -81,18 +81,21 @@ class Vectors:
         self.all = work.cut(src, "vectors")
         order = F.struct(F.coalesce("version", F.lit(-(2**63))).alias("v"), "ok", "cls", "rid")
         last = self.all.groupBy("id").agg(F.max(order).alias("s")).where("s.ok").select("id", "s.cls", "s.rid")
-        last = last.repartitionByRange("id").sortWithinPartitions("id").withColumn("k", F.monotonically_increasing_id())
-        self.names = work.cut(last, "names")
-        ranked = self.names.withColumn("at", F.row_number().over(Window.partitionBy("cls").orderBy("k")))
-        ranked = work.cut(ranked, "classes")
-        self.heads = ranked.where(F.col("at") <= first).select("k", "rid", "cls")
-        self.copies = ranked.where(F.col("at") > first).select("k", "cls")
-        self.first = ranked.where(F.col("at") < first).select("k", "cls")
-        self.singles = ranked.where("at = 1").select("k", "rid", "cls")
-
-    def rows(self, which: DataFrame) -> DataFrame:
-        """``(k, vec)`` of the given ``(k, rid)``."""
-        return keep_by(self.all.select("rid", "vec"), which.select("rid"), "rid", "left_semi").join(which.select("k", "rid"), "rid").select("k", "vec")
+        at = F.row_number().over(Window.partitionBy("cls").orderBy("id")).alias("at")
+        ranked = work.cut(last.select("id", "cls", "rid", at), "names")
+        self.names = ranked.select("rid", "cls", "id")
+        self.heads = ranked.where(F.col("at") <= first).select("rid", "cls")
+        self.copies = ranked.where(F.col("at") > first).select("rid", "cls")
+        self.first = ranked.where(F.col("at") < first).select("rid", "cls")
+        self.rest = work.cut(self.all.select("rid").join(self.heads.select("rid"), "rid", "left_anti"), "rest")
+
+    def rows(self) -> DataFrame:
+        """``(rid, vec)`` of the heads."""
+        return keep_by(self.all.select("rid", "vec"), self.rest, "rid", "left_anti")
+
+    def some(self, rids: DataFrame) -> DataFrame:
+        """``(rid, vec)`` of the given ones."""
+        return keep_by(self.all.select("rid", "vec"), rids, "rid", "left_semi")
 
     def decode(self, column: pa.Array) -> np.ndarray:
         return decode(column, self.width, self.halves)
@@ -154,22 +157,22 @@ def _key_rows(bits_total: int, tables: int, length: int, only: bool):
                 for j in set(t.tolist()):
                     at = t == j
                     key[at] = keys_of(codes[at], j, length, j * s)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(key)], names=["k", "code", "t", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(key)], names=["rid", "code", "t", "key"])
             else:
                 key = np.concatenate([keys_of(codes, j, length, j * s) for j in range(tables)])
                 idx = pa.array(np.tile(np.arange(len(k)), tables))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(k))), pa.array(key)], names=["k", "code", "t", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(k))), pa.array(key)], names=["rid", "code", "t", "key"])
 
     return run
 
 
 def buckets(codes: DataFrame, bits: int, tables: int, work: Workspace, cap: int = CAP) -> DataFrame:
-    """``(k, code, key)``: each row of ``(k, code)`` once per table, under its substring.
+    """``(rid, code, key)``: each row of ``(rid, code)`` once per table, under its substring.
 
     A bucket of more than ``cap`` rows is cut by further bits of the code, four at a time; rows that agree in the whole code
     are spread over blocks, and each pair of blocks is a bucket, so that no pair is lost and no bucket exceeds twice the cap.
     """
-    schema = "k bigint, code binary, t int, key bigint"
+    schema = "rid bigint, code binary, t int, key bigint"
     length = bits // tables
     rows = codes.mapInArrow(_key_rows(bits, tables, length, False), schema)
     done = None
@@ -177,18 +180,18 @@ def buckets(codes: DataFrame, bits: int, tables: int, work: Workspace, cap: int
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         hot = work.cut(counts.where(F.col("n") > cap), "hot")
         if hot.isEmpty():
-            part = rows.select("k", "code", "key")
+            part = rows.select("rid", "code", "key")
             return part if done is None else done.unionByName(part)
-        part = keep_by(rows, hot.select("key"), "key", "left_anti").select("k", "code", "key")
+        part = keep_by(rows, hot.select("key"), "key", "left_anti").select("rid", "code", "key")
         done = part if done is None else done.unionByName(part)
         if length >= bits:
             break
         length = min(bits, length + 4)
-        rows = work.cut(keep_by(rows, hot.select("key"), "key", "left_semi").select("k", "code", "t"), "hot-rows").mapInArrow(_key_rows(bits, tables, length, True), schema)
+        rows = work.cut(keep_by(rows, hot.select("key"), "key", "left_semi").select("rid", "code", "t"), "hot-rows").mapInArrow(_key_rows(bits, tables, length, True), schema)
     whole = keep_by(rows.where("t = 0"), hot.select("key"), "key", "left_semi").join(hot, "key")
     blocks = F.ceil(F.col("n") / cap)
-    whole = whole.withColumn("m", blocks).withColumn("i", F.pmod(F.xxhash64("k"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
-    whole = whole.select("k", "code", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
+    whole = whole.withColumn("m", blocks).withColumn("i", F.pmod(F.xxhash64("rid"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    whole = whole.select("rid", "code", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
     return done.unionByName(whole)
 
 
@@ -212,7 +215,7 @@ def groups(batches):
 
 
 def active(rows: DataFrame, radius: int) -> DataFrame:
-    """``(k, key)`` of the bucket rows with another row of the bucket within a Hamming radius."""
+    """``(rid, key)`` of the bucket rows with another row of the bucket within a Hamming radius."""
 
     def run(batches):
         ks, keys = [], []
@@ -233,10 +236,10 @@ def active(rows: DataFrame, radius: int) -> DataFrame:
                 keys.append(np.full(len(got), key))
                 n += len(got)
             if n > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(keys))], names=["k", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(keys))], names=["rid", "key"])
                 ks, keys, n = [], [], 0
         if ks:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(keys))], names=["k", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(keys))], names=["rid", "key"])
 
-    by_key = rows.select("key", "k", "code").repartition("key").sortWithinPartitions("key")
-    return by_key.mapInArrow(run, "k bigint, key bigint")
+    by_key = rows.select("key", "rid", "code").repartition("key").sortWithinPartitions("key")
+    return by_key.mapInArrow(run, "rid bigint, key bigint")
