@@ -11,6 +11,7 @@ from veldspar.llm.common import first_version
 from veldspar.llm.leaks import leaks
 from veldspar.llm.near_duplicates import group_pairs, near_duplicate_groups
 from veldspar.llm.packing import pack, token_counts
+from veldspar.llm.replies import broken_replies
 from veldspar.llm.similar import most_similar
 from veldspar.llm.splitting import split_documents
 from veldspar.session import Workspace, table
@@ -33,6 +34,10 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return group_pairs(near_duplicate_groups(_records(spark, root), work, threshold=0.5, shingle=3))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return broken_replies(table(spark, root, "chat_history"))
+
+
 def _batches(spark: SparkSession, root: str) -> DataFrame:
     part = F.lower(F.regexp_replace("domain", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""))
     part = F.when(F.coalesce(part, F.lit("")) == "", "unknown").otherwise(part)
@@ -92,5 +97,5 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_leaks(spark, root).where("kind = 'verbatim'").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p5_found, p5_groups, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
