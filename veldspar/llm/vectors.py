@@ -196,8 +196,12 @@ def buckets(codes: DataFrame, bits: int, tables: int, work: Workspace, cap: int
 
 
 def groups(batches):
-    """Runs of equal keys of a stream sorted by its first column, ``(key, second column, third column)``; caps bound a run."""
+    """Runs of equal keys of a stream sorted by its first column, ``(key, *other columns)``; the caps above bound a run."""
     key, kept = None, []
+
+    def run():
+        return key, *(pa.concat_arrays([p.column(i) for p in kept]) for i in range(1, kept[0].num_columns))
+
     for b in batches:
         keys = np.asarray(b.column(0))
         if not len(keys):
@@ -207,11 +211,11 @@ def groups(batches):
         for s, e in zip(starts.tolist(), ends.tolist()):
             if keys[s] != key:
                 if kept:
-                    yield key, *(pa.concat_arrays([p.column(i) for p in kept]) for i in (1, 2))
+                    yield run()
                 key, kept = keys[s], []
             kept.append(b.slice(s, e - s))
     if kept:
-        yield key, *(pa.concat_arrays([p.column(i) for p in kept]) for i in (1, 2))
+        yield run()
 
 
 def active(rows: DataFrame, radius: int) -> DataFrame:
