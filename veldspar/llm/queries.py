@@ -12,6 +12,7 @@ from veldspar.llm.leaks import leaks
 from veldspar.llm.near_duplicates import group_pairs, near_duplicate_groups
 from veldspar.llm.packing import pack, token_counts
 from veldspar.llm.replies import broken_replies
+from veldspar.llm.residue import residue
 from veldspar.llm.similar import most_similar
 from veldspar.llm.splitting import split_documents
 from veldspar.session import Workspace, table
@@ -97,5 +98,13 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_leaks(spark, root).where("kind = 'verbatim'").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks)}
+def p9_residue(spark: SparkSession, root: str) -> DataFrame:
+    return residue(table(spark, root, "documents"), Workspace(spark, "p9"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_residue(spark, root).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks, p9_found, p9_residue)}
 SQL: dict[str, str] = {}
