@@ -26,14 +26,14 @@ def ttl_prune(spark, root):
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, epoch_us(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR) AS end_us, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL")
 def event_windows(spark, root):
     out = S.windowed(table(spark, root, "events"), "1 hour")
-    return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "event_type", "n", rounded("total", 4).alias("total"))
+    return out.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "event_type", "n", rounded("total", 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE >= ts THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, root):
     out = S.sessions(table(spark, root, "events"))
-    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+    return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
 
 
 @query("SELECT event_type AS type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM events GROUP BY event_type")

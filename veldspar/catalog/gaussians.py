@@ -159,7 +159,7 @@ def adaptive_gap_cut(spark, root):
     return retrieval.adaptive_cut(near, "vec_id", "d").select("query_id", "vec_id", rounded("distance").alias("distance"), "rank")
 
 
-@query("""WITH c AS (SELECT chunk_id, arg_max({'s': sigma_diag, 'l': sigma_l}, ingest_seq) AS x FROM chunks GROUP BY chunk_id),
+@query("""WITH c AS (SELECT chunk_id, {'s': sigma_diag, 'l': sigma_l} AS x FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingest_seq DESC, sigma_diag DESC NULLS LAST, sigma_l DESC NULLS LAST) AS n FROM chunks) WHERE n = 1),
 u AS (SELECT chunk_id, list_sum(x.s) + coalesce(list_sum(list_transform(flatten(x.l), lambda v: v * v)), 0) AS tr FROM c
  WHERE len(x.s) = 64 AND len(list_filter(x.s, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0)
 SELECT chunk_id, round(tr, 6) + 0.0 AS trace, round(1 / (1 + greatest(tr, 0)), 6) + 0.0 AS confidence,

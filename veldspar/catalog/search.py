@@ -135,7 +135,7 @@ def retrieval_allowed(docs, q):
     return terms.join(hits, "term").select("query_id", "doc_id").distinct()
 
 
-@query("""WITH c AS (SELECT chunk_id, arg_max(mu, ingest_seq) AS mu FROM chunks GROUP BY chunk_id), u AS (SELECT chunk_id, mu FROM c WHERE len(mu) = 64 AND len(list_filter(mu, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0)
+@query("""WITH c AS (SELECT chunk_id, mu FROM (SELECT chunk_id, mu, row_number() OVER (PARTITION BY chunk_id ORDER BY ingest_seq DESC) AS n FROM chunks) WHERE n = 1), u AS (SELECT chunk_id, mu FROM c WHERE len(mu) = 64 AND len(list_filter(mu, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0)
 SELECT chunk_id, round(sqrt(list_dot_product(mu, mu)), 6) + 0.0 AS norm FROM u""")
 def usable_vectors(spark, root):
     from veldspar.operators.store import latest
