@@ -54,7 +54,7 @@ def learned_variance(mu: Column, scale: Column | None = None) -> Column:
 def learned_factor(variance: Column, rank: int = RANK) -> Column:
     """Columns of the learned factor: the diagonal times a weight falling from 1 to a quarter, over the rank."""
     weights = [(1.0 - 0.75 * i / max(rank - 1, 1)) / rank for i in range(rank)]
-    return F.array(*[F.transform(variance, lambda v, w=w: v * w) for w in weights])
+    return F.array(*[V.scale(variance, F.lit(w)) for w in weights])
 
 
 def rank_weight(rank: int = RANK) -> float:
