@@ -98,8 +98,10 @@ class History:
         self.sets.append(keep)
         run = keyed.join(keep.select("id"), "id", "left_semi").select("key", "id").repartitionByRange("key").sortWithinPartitions("key", "id")
         self.runs[0].append(w.cut(run, "run-0"))
+        result = every.select("id").join(keep.select("id", F.lit(False).alias("ok")), "id", "left").select("id", F.col("ok").isNull().alias("rejected"))
+        result = w.cut(result, "result")  # written, since compaction deletes what it would be read from
         self._compact()
-        return every.select("id").join(keep.select("id", F.lit(False).alias("ok")), "id", "left").select("id", F.col("ok").isNull().alias("rejected"))
+        return result
 
     def _similar(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` of the same part that reach the threshold; left has ``a, part, bag``, right is ``heads``."""

@@ -33,7 +33,7 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
         lo, ln = (0.0, 1.0) if j == 0 else (2.0 ** (j - 1), 2.0 ** (j - 1))
         at = np.flatnonzero(weight > lo)
         d.append(doc[at])
-        seed.append(mix(element[at] + np.uint64(j) * GOLDEN))
+        seed.append(mix(element[at] + np.uint64(j * int(GOLDEN) & (2**64 - 1))))
         low.append(np.full(len(at), lo))
         length.append(np.full(len(at), ln))
         w.append(weight[at])
