@@ -105,7 +105,7 @@ ANSWER = "The quorix limits the appeal bundle by 40 units, and clerks notice at
         (Q, None, "empty"), (Q, "", "empty"), (Q, " ​\t", "empty"), (Q, "N/A", "empty"), (Q, "<empty>", "empty"), (Q, "...", "empty"),
         (Q, ANSWER, None), (None, ANSWER, None), (Q, "12 days", None), (Q, "No.", None), (Q, "Twice a week", None), (Q, ANSWER + " [2][3]", None), (Q, f"“{ANSWER}”", None),
         (Q, ANSWER + " The other clerk of the market hall", "truncated"), (Q, ANSWER + "\n```\nset a = 4\nset b =", "truncated"), (Q, ANSWER + "\n```\nset a = 4\n```", None),
-        (Q, "Key points:\n- first valve at the mill\n- second valve at the dock", None), (Q, "Key points:\n- first valve at the mill\n- second valve at the", "truncated"), (Q, ANSWER + " It stops because:", "truncated"),
+        (Q, "Key points:\n- first valve at the mill\n- second valve at the dock", None), (Q, "Key points:\n- first valve at the mill\n- second valve at the", "truncated"), (Q, ANSWER + " It stops because:", "truncated"), (Q, "Key points:\n- sheltered otter den at the dock\n* frost hollow at the office", None),
         (Q, "I'm sorry, but I can't help with that.", "refusal"), (Q, "Request refused.", "refusal"), (Q, "As an assistant, I must decline to discuss it. Try rephrasing the question.", "refusal"), (Q, "Sorry for the wait. " + ANSWER, None),
         (Q, "I can't give an exact figure, but the quorix limits the bundle steadily.", None), ("Warum?", "Diese Anfrage darf ich nicht beantworten.", "refusal"), (Q, "The old mill cannot provide it to clerks; it must decline any request. " + ANSWER, None),
         (Q, Q, "copy"), (Q, Q.upper().replace("?", "?!"), "copy"), (Q, f"You asked: {Q}", "copy"), (Q, f"{Q}\n{Q}", "copy"), (Q, f"You asked: {Q} {ANSWER}", None),

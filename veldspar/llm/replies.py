@@ -236,7 +236,7 @@ def is_truncated(answer: str) -> bool:
                 return True  # the other entries are sentences
             shared = frozenset.intersection(*(frozenset(WORD.findall(x.lower())) for x in others))
             mine = frozenset(WORD.findall(body.lower()))
-            return bool(shared & OPEN_WORDS) and not (shared & OPEN_WORDS) <= mine
+            return bool(shared & OPEN_WORDS) and not shared & OPEN_WORDS & mine
         return len(WORD.findall(body)) <= 1 and not regex.search(r"\d", body)
     if marked:
         return False
