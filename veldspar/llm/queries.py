@@ -107,4 +107,12 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks, p9_found, p9_residue)}
-SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+SQL: dict[str, str] = {
+    "p2_found": r"""WITH c AS (SELECT lower(trim(structure_type)) AS kind, max_tokens FROM chunking_config), d AS (SELECT DISTINCT id, text, lower(trim(structure_type)) AS kind FROM corpus_docs WHERE text IS NOT NULL)
+SELECT DISTINCT id FROM d LEFT JOIN c USING (kind) WHERE len(regexp_extract_all(text, '[^\t\n\x0b\x0c\r\x{85}\p{Z}]+')) > coalesce(max_tokens, (SELECT max_tokens FROM c WHERE kind = 'default'))""",
+    "p7_found": r"""SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]+')) > 1024""",
+    "p8_found": f"""WITH i AS (SELECT item_id, {WORDS} AS w FROM eval_items), iw AS (SELECT item_id, least(12, len(w)) AS n, w, unnest(range(1, len(w) - least(12, len(w)) + 2)) AS s FROM i WHERE len(w) > 0),
+ik AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM iw), ns AS (SELECT DISTINCT n FROM ik), d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, ns WHERE len(w) >= n) SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM dw) JOIN ik USING (n, k)""",
+}
