@@ -247,3 +247,21 @@ def test_taxonomy_recovers_clusters(spark):
         found.setdefault(r.leaf, set()).add(r.chunk_id[0])
     assert len(found) == 3 and all(len(x) == 1 for x in found.values())
     assert taxonomy.spherical_kmeans(df.limit(0), 3, "chunk_id").count() == 0
+
+
+def test_principal_components(spark):
+    x = RNG.normal(size=(50, 4)) @ np.diag([3.0, 2.0, 1.0, 0.1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (98, [1.0])], "k int, mu array<double>")
+    got = np.array([r.components for r in taxonomy.principal_components(df, "k").orderBy("k").collect()])
+    c = x - x.mean(axis=0)
+    want = c @ np.linalg.svd(c, full_matrices=False)[2][:3].T
+    assert np.allclose(np.abs(got), np.abs(want))
+    assert taxonomy.principal_components(df.limit(0), "k").count() == 0
+
+
+def test_answers(spark):
+    from veldspar.functions import answers
+
+    df = spark.createDataFrame([('```json\n{"a": 1}\n```', "Yes", None), ("none", "yes", 0.2), (None, None, 0.7)], "t string, a string, p double")
+    got = df.select(answers.parsed(F.col("t"), "a int")["a"], answers.yes_or_no(F.col("a"), F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [(1, "yes"), (None, "no"), (None, "yes")]

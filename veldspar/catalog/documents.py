@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veldspar.catalog.registry import query, rounded
+from veldspar.functions import answers
 from veldspar.functions import text as X
 from veldspar.operators import encoding, etl, evaluation, store
 from veldspar.session import table
@@ -149,3 +150,10 @@ def heading_counts(spark, root):
 SELECT item_id, array_to_string(list_distinct_ordered, ' ') AS reversed FROM (SELECT item_id, list_reverse(w) AS list_distinct_ordered FROM w)""")
 def text_views(spark, root):
     return table(spark, root, "eval_items").select("item_id", encoding.views(F.col("text"))[4].alias("reversed"))
+
+
+@query(f"""WITH r AS (SELECT item_id, regexp_extract_all(text, '([A-Z][A-Za-z0-9_-]+|[A-Za-z]+[0-9][A-Za-z0-9_-]*)') AS w FROM eval_items), u AS (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM r),
+k AS (SELECT item_id, w, min(i) AS i FROM u WHERE lower(w) NOT IN ({", ".join(f"'{w}'" for w in X.STOP_WORDS)}) GROUP BY item_id, w), s AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) AS e FROM k GROUP BY item_id)
+SELECT item_id, coalesce(e, '') AS entities FROM eval_items LEFT JOIN s USING (item_id)""")
+def entity_tokens(spark, root):
+    return table(spark, root, "eval_items").select("item_id", F.array_join(answers.entities(F.col("text")), " ").alias("entities"))

@@ -361,3 +361,10 @@ def multi_sense_weighted_max(spark, root):
     per = per_sense(spark, root).withColumn("weight", (3 - F.col("sense")) / 6.0).withColumn("score", F.round(1 / (1 + F.col("distance")), 9))
     out = retrieval.weighted_max(per, None, "vec_id").withColumn("o", F.round("fused", 9)).drop("rank")
     return ranked(out, ["query_id"], [F.desc("o"), "vec_id"], 12).select("query_id", "vec_id", rounded("fused").alias("fused"), "rank")
+
+
+@query()
+def pca_coordinates(spark, root):
+    """Three coordinates of each vector; squares, since only the axis counts."""
+    out = taxonomy.principal_components(gaussians(spark, root), "vec_id")
+    return out.select("vec_id", rounded(F.pow(F.col("components")[0], 2)).alias("x2"), rounded(F.pow(F.col("components")[1], 2)).alias("y2"), rounded(F.pow(F.col("components")[2], 2)).alias("z2"))

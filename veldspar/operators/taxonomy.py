@@ -94,3 +94,35 @@ def pruning(routed: DataFrame, members: DataFrame, key: str = "chunk_id") -> Dat
     total = members.agg(F.countDistinct(key).alias("n"))
     allowed = routed.join(members.select("leaf", key), "leaf").groupBy("query_id").agg(F.countDistinct(key).alias("allowed"))
     return allowed.join(F.broadcast(total)).select("query_id", "allowed", (1 - F.col("allowed") / F.col("n")).alias("ratio"))
+
+
+def principal_components(rows: DataFrame, key: str, vector: str = "mu", count: int = 3) -> DataFrame:
+    """``(key, components)``: the first coordinates along the directions of the greatest variance, zeros where there are fewer.
+
+    Each batch gives its count, sums and products, a matrix of d by d; only their totals reach the driver.  A direction's sign is
+    that which makes its largest entry positive.  Null vectors, and those of another length than the first, take no part.
+    """
+    first = rows.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    if first is None:
+        return rows.select(key, F.array().cast("array<double>").alias("components")).limit(0)
+    d = first[0]
+    usable = rows.where(F.size(vector) == d).select(key, V.doubles(vector).alias("x"))
+
+    def moments(batches):
+        import pyarrow as pa
+
+        n, s, p = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([s.tolist()]), pa.array([p.reshape(-1).tolist()])], names=["n", "s", "p"])
+
+    total = usable.select("x").mapInArrow(moments, "n double, s array<double>, p array<double>")
+    add = lambda c: F.transform(F.sequence(F.lit(0), F.lit((d if c == "s" else d * d) - 1)), lambda i: F.aggregate(F.collect_list(c), F.lit(0.0), lambda a, v: a + v[i]))
+    n, s, p = total.agg(F.sum("n"), add("s"), add("p")).first()  # one row per task is summed
+    mean = np.array(s) / n
+    _, v = np.linalg.eigh(np.array(p).reshape(d, d) / n - np.outer(mean, mean))
+    top = v[:, ::-1][:, :count]
+    top = top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])])
+    parts = [F.aggregate(F.zip_with(F.zip_with("x", F.array(*map(F.lit, mean.tolist())), lambda a, m: a - m), F.array(*map(F.lit, top[:, j].tolist())), lambda a, w: a * w), F.lit(0.0), lambda a, x: a + x) for j in range(top.shape[1])]
+    return usable.select(key, F.array(*parts, *[F.lit(0.0)] * (count - len(parts))).alias("components"))
