@@ -35,11 +35,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or, where it is unset, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="veldspar-")
-        atexit.register(shutil.rmtree, path[len("file://"):], True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="veldspar-"))
+        atexit.register(shutil.rmtree, _own[0][len("file://"):], True)
+    return _own[0]
+
+
+_own: list[str] = []
 
 
 class Workspace:
