@@ -122,3 +122,18 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(df.repartition(7), Workspace(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert connected_components(df.limit(0), Workspace(spark, "t")).count() == 0
+
+
+def test_clumps_joined_only_beyond_full_lists(spark):
+    rng = np.random.default_rng(8)
+    d, near = 64, 0.86
+    x, want = [], {}
+    for g in range(8):
+        u, v = np.linalg.qr(rng.normal(size=(d, 2)))[0].T
+        for centre in (u, near * u + np.sqrt(1 - near**2) * v):
+            x += [centre + rng.normal(scale=0.004, size=d) for _ in range(25)]
+        want |= {f"c{50 * g + i:05d}": f"c{50 * g:05d}" for i in range(50)}
+    x += list(rng.normal(size=(1200, d)))
+    x = np.array(x)
+    got = similarity_clusters(frame(spark, rows_of(x, np.full(x.shape, 0.01))), Workspace(spark, "t"))
+    assert {r.id: r.cluster_id for r in got.collect()} == want

@@ -141,6 +141,112 @@ def descent(store: V.Vectors, work: Workspace, count: int, floor: float, rounds:
     return graph
 
 
+def _apart(comp: np.ndarray) -> np.ndarray:
+    """Places outside the largest component of a bucket: every pair of two components has one of them."""
+    _, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(inverse != sizes.argmax())
+
+
+def _active_apart(radius: int):
+    """``(rid, comp, key)`` of the bucket rows with a row of another component within a Hamming radius; the code ends in the component."""
+
+    def run(batches):
+        out, n = [], 0
+        for key, k, code in V.groups(batches):
+            if len(k) < 2:
+                continue
+            raw = V.fixed(code, np.uint8, len(code[0].as_py()))
+            comp = np.ascontiguousarray(raw[:, -8:]).view(">i8").reshape(-1).astype(np.int64)
+            rest = _apart(comp)
+            if not len(rest):
+                continue
+            c = np.unpackbits(raw[:, :-8], axis=1).astype(np.float32)
+            ones = c.sum(axis=1)
+            near = np.zeros(len(c), bool)
+            for s in range(0, len(rest), 1024):
+                r = rest[s : s + 1024]
+                hit = ones[r, None] + ones[None] - 2 * (c[r] @ c.T) <= radius + 0.5
+                hit &= comp[r, None] != comp[None]
+                near[r] |= hit.any(axis=1)
+                near |= hit.any(axis=0)
+            if near.any():
+                out.append((np.asarray(k)[near], comp[near], np.full(int(near.sum()), key)))
+                n += int(near.sum())
+            if n > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["rid", "comp", "key"])
+                out, n = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["rid", "comp", "key"])
+
+    return run
+
+
+def _across(width: int, halves: int, similar: float):
+    """Per bucket, the best sure link of each two components, and every one at the limit."""
+
+    def run(batches):
+        out, n = [], 0
+        for _, k, comp, vec in V.groups(batches):
+            k, comp = np.asarray(k), np.asarray(comp)
+            rest = _apart(comp)
+            if not len(rest):
+                continue
+            x = V.decode(vec, width, halves).astype(np.float32)
+            for s in range(0, len(rest), 1024):
+                r = rest[s : s + 1024]
+                c = x[r] @ x.T
+                a, b = np.nonzero((c >= similar - 1e-4) & (comp[r, None] != comp[None]))
+                v, a = c[a, b], r[a]
+                swap = comp[a] > comp[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                o = np.lexsort((b, a, -v, comp[b], comp[a]))
+                a, b, v = a[o], b[o], v[o]
+                first = np.append(True, (comp[a][1:] != comp[a][:-1]) | (comp[b][1:] != comp[b][:-1]))[: len(a)]
+                ok = first | (v < similar + 1e-4)
+                out.append((k[a[ok]], k[b[ok]], comp[a[ok]], comp[b[ok]], v[ok]))
+                n += int(ok.sum())
+            if n > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "ca", "cb", "s"])
+                out, n = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "ca", "cb", "s"])
+
+    return run
+
+
+def across(store: V.Vectors, comp: DataFrame, work: Workspace, similar: float, missed: float) -> DataFrame:
+    """``(a, b, s)``: links of at least about ``similar`` between rows of different components, one of each two components and all at the limit.
+
+    All rows take part, those without a neighbour as components of their own.  Substrings of hyperplane codes are four bits
+    shorter than those of the start, and there are as many tables as leave a pair of just that cosine unmet with a
+    probability of ``missed``, whatever the number of rows; in a bucket every pair of two components is compared, with no cap.
+    """
+    n = store.heads.count()
+    length, agree = max(2, V.substring_bits(n) - 4), 1 - np.arccos(similar) / np.pi
+    tables = int(np.ceil(np.log(missed) / np.log1p(-(agree**length))))
+    bits = tables * length
+    radius = round((1 - agree) * bits + 2.5 * np.sqrt(agree * (1 - agree) * bits))
+    width, halves = store.width, store.halves
+    planes = np.random.default_rng(13).normal(size=(width, bits)).astype(np.float32)
+
+    def code(batches):
+        for b in batches:
+            x = V.decode(b.column(1), width, halves).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), V.pack_rows(np.packbits(x @ planes > 0, axis=1))], names=["rid", "code"])
+
+    codes = store.rows().mapInArrow(code, "rid bigint, code binary").join(comp.withColumnRenamed("node", "rid"), "rid", "left")
+    own = F.to_binary(F.lpad(F.hex(F.coalesce("component", "rid")), 16, "0"), F.lit("hex"))
+    codes = work.cut(codes.select("rid", F.concat("code", own).alias("code")), "codes-across")
+    rows = V.buckets(codes, bits, tables, work, whole=True).select("key", "rid", "code").repartition("key").sortWithinPartitions("key")
+    near = work.cut(rows.mapInArrow(_active_apart(radius), "rid bigint, comp bigint, key bigint"), "apart")
+    vec = store.some(work.cut(near.select("rid").distinct(), "nodes-apart"))
+    joined = near.join(vec, "rid").select("key", "rid", "comp", "vec").repartition("key").sortWithinPartitions("key")
+    found = work.cut(joined.mapInArrow(_across(width, halves, similar), "a bigint, b bigint, ca bigint, cb bigint, s float"), "across")
+    sure = found.where(F.col("s") >= similar + 1e-4).groupBy("ca", "cb").agg(F.max(F.struct("s", "a", "b")).alias("m")).select("m.a", "m.b", "m.s")
+    out = sure.unionByName(found.where(F.col("s") < similar + 1e-4).select("a", "b", "s"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+
+
 def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0) -> np.ndarray:
     """Communities of an undirected weighted graph by moves that raise modularity, level after level (Blondel et al. 2008)."""
     label = np.arange(n)
@@ -243,13 +349,15 @@ def similarity_clusters(
     rounds: int = 1,
     tables: int = 4,
     settled: float = 0.02,
+    missed: float = 0.1,
     typical: int = 3,
 ) -> DataFrame:
     """``(cluster_id, id, size, community, degree, typical)``: the members of each cluster of at least ``least`` rows.
 
     Rows are the latest version of each id whose ``mu`` has ``d`` finite numbers, not all zero.  Neighbour descent gives each
     distinct direction its most similar ones; those of a cosine of at least ``similar`` are links, and rows linked directly
-    or through others are one cluster, named by its least id.  Within it, modularity finds communities; a row's ``degree``
+    or through others are one cluster, named by its least id.  Links that full lists leave out are found between the components
+    of the lists (see ``across``).  Within it, modularity finds communities; a row's ``degree``
     is the weight of its links inside its community, and the cluster's ``typical`` rows are those of the highest degree.
     Equal directions are one node of the graph and come out under every id.  Communities are found in one task per cluster
     of up to 20,000 distinct links' ends, and by rounds of joins in larger ones.
@@ -260,6 +368,10 @@ def similarity_clusters(
     links = graph.where(F.col("s") >= similar - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
     links = work.cut(_exact(links, store, df, key, version, similar, work), "links")
     comp = work.cut(connected_components(links, work), "components")
+    more = work.cut(_exact(across(store, comp, work, similar, missed), store, df, key, version, similar, work), "links-across")
+    if not more.isEmpty():
+        links = work.cut(links.unionByName(more), "links")
+        comp = work.cut(connected_components(links, work), "components")
     # members: every id of a vector, by its class
     node = store.heads.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     members = store.names.select("id", "cls").join(node, "cls").withColumnRenamed("rid", "k")

@@ -148,7 +148,8 @@ def keys_of(bits: np.ndarray, table: int, length: int, start: int) -> np.ndarray
 def _key_rows(bits_total: int, tables: int, length: int, only: bool):
     def run(batches):
         for b in batches:
-            codes = np.unpackbits(fixed(b.column(1), np.uint8, -(-bits_total // 8)), axis=1)[:, :bits_total]
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1) if b.num_rows else np.empty((0, -(-bits_total // 8)), np.uint8)  # further bytes are carried along
+            codes = np.unpackbits(raw[:, : -(-bits_total // 8)], axis=1)[:, :bits_total]
             k = np.asarray(b.column(0))
             s = bits_total // tables
             if only:  # rows of certain tables
@@ -166,11 +167,12 @@ def _key_rows(bits_total: int, tables: int, length: int, only: bool):
     return run
 
 
-def buckets(codes: DataFrame, bits: int, tables: int, work: Workspace, cap: int = CAP) -> DataFrame:
+def buckets(codes: DataFrame, bits: int, tables: int, work: Workspace, cap: int = CAP, whole: bool = False) -> DataFrame:
     """``(rid, code, key)``: each row of ``(rid, code)`` once per table, under its substring.
 
-    A bucket of more than ``cap`` rows is cut by further bits of the code, four at a time; rows that agree in the whole code
-    are spread over blocks, and each pair of blocks is a bucket, so that no pair is lost and no bucket exceeds twice the cap.
+    A bucket of more than ``cap`` rows is cut by further bits of the code, four at a time, unless it is to stay ``whole``; rows
+    that agree in the whole code, or of a whole bucket, are spread over blocks, and each pair of blocks is a bucket, so that
+    no pair is lost and no bucket exceeds twice the cap.
     """
     schema = "rid bigint, code binary, t int, key bigint"
     length = bits // tables
@@ -184,15 +186,15 @@ def buckets(codes: DataFrame, bits: int, tables: int, work: Workspace, cap: int
             return part if done is None else done.unionByName(part)
         part = keep_by(rows, hot.select("key"), "key", "left_anti").select("rid", "code", "key")
         done = part if done is None else done.unionByName(part)
-        if length >= bits:
+        if whole or length >= bits:
             break
         length = min(bits, length + 4)
         rows = work.cut(keep_by(rows, hot.select("key"), "key", "left_semi").select("rid", "code", "t"), "hot-rows").mapInArrow(_key_rows(bits, tables, length, True), schema)
-    whole = keep_by(rows.where("t = 0"), hot.select("key"), "key", "left_semi").join(hot, "key")
+    large = keep_by(rows if whole else rows.where("t = 0"), hot.select("key"), "key", "left_semi").join(hot, "key")
     blocks = F.ceil(F.col("n") / cap)
-    whole = whole.withColumn("m", blocks).withColumn("i", F.pmod(F.xxhash64("rid"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
-    whole = whole.select("rid", "code", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
-    return done.unionByName(whole)
+    large = large.withColumn("m", blocks).withColumn("i", F.pmod(F.xxhash64("rid"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    large = large.select("rid", "code", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
+    return done.unionByName(large)
 
 
 def groups(batches):
