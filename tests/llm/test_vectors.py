@@ -137,3 +137,15 @@ def test_clumps_joined_only_beyond_full_lists(spark):
     x = np.array(x)
     got = similarity_clusters(frame(spark, rows_of(x, np.full(x.shape, 0.01))), Workspace(spark, "t"))
     assert {r.id: r.cluster_id for r in got.collect()} == want
+
+
+def test_every_row_has_its_nearest_without_a_limit(spark):
+    from veldspar.llm.queries import QUERIES
+
+    x, s = clustered(3, noise=400)
+    got = {(int(r.id[1:]), int(r.neighbour[1:])) for r in most_similar(frame(spark, rows_of(x, s)), Workspace(spark, "t"), d=D, limit=None).collect()}
+    want = brute(x, s, limit=9)
+    assert len(want) == 5 * len(x) and {i for i, _ in got} == set(range(len(x))) and len(got & want) >= 0.99 * len(want)
+    root = "/root/testdata/sf0.001"
+    rows = QUERIES["p1_neighbours"](spark, root).groupBy("id").count().collect()
+    assert rows and all(r["count"] == 5 for r in rows)

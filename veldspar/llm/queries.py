@@ -54,12 +54,13 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    return most_similar(table(spark, root, "chunks"), Workspace(spark, "p1"))
+    return most_similar(table(spark, root, "chunks"), Workspace(spark, "p1"), limit=None)
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """The pairs within 0.25 alone, which need no search of scattered rows."""
     lo, hi = F.least("id", "neighbour"), F.greatest("id", "neighbour")
-    return p1_neighbours(spark, root).select(lo.alias("chunk_lo"), hi.alias("chunk_hi")).distinct()
+    return most_similar(table(spark, root, "chunks"), Workspace(spark, "p1"), limit=0.25).select(lo.alias("chunk_lo"), hi.alias("chunk_hi")).distinct()
 
 
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
