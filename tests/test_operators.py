@@ -265,3 +265,17 @@ def test_answers(spark):
     df = spark.createDataFrame([('```json\n{"a": 1}\n```', "Yes", None), ("none", "yes", 0.2), (None, None, 0.7)], "t string, a string, p double")
     got = df.select(answers.parsed(F.col("t"), "a int")["a"], answers.yes_or_no(F.col("a"), F.col("p"))).collect()
     assert [tuple(r) for r in got] == [(1, "yes"), (None, "no"), (None, "yes")]
+
+
+def test_allowed_rows_are_filtered_before_the_dense_cut(spark):
+    rows = [(i, "zz", [float(i), 1.0], [0.01, 0.01]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, mu array<double>, sigma_diag array<double>")
+    q = spark.createDataFrame([(0, "aa", [0.0, 1.0]), (1, "aa", [0.0, 1.0])], "query_id int, text string, mu array<double>")
+    narrow = [(1, i) for i in range(300, 400)]
+    allowed = spark.createDataFrame([(0, i) for i in range(300)] + narrow, "query_id int, doc_id int")
+    allowed = allowed.unionByName(spark.createDataFrame([(1, 150)], "query_id int, doc_id int"))
+    near = retrieval.nearest_allowed(docs, q, allowed, 3, "l2", "doc_id")
+    assert {(r.query_id, r.doc_id) for r in near.collect()} == {(0, 0), (0, 1), (0, 2), (1, 150), (1, 300), (1, 301)}
+    got = hybrid.retrieve(docs, q, k=3, metric="w2", adaptive=False, allowed=allowed, key="doc_id").where("query_id = 1").collect()
+    alone = hybrid.retrieve(docs, q.where("query_id = 1"), k=3, metric="w2", adaptive=False, allowed=allowed.where("query_id = 1"), key="doc_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, alone)) and {r.arm for r in got} == {1}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veldspar.functions import vectors as V
 from veldspar.operators.lexical import ranked
 
 MOST_QUERIES = 20_000
@@ -39,6 +40,19 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", k
     return ranked(out, ["query_id"], ["distance", key], k)
 
 
+def nearest_allowed(chunks: DataFrame, queries: DataFrame, allowed: DataFrame, k: int, metric: str = "l2", key: str = "chunk_id", vector: str = "mu") -> DataFrame:
+    """``nearest`` among the rows that ``allowed(query_id, key)`` names for each query: every allowed pair is scored before the cut."""
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
+    first = queries.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
+    d = first["d"] if first else 0
+    fits = lambda df: df.where(F.size(vector) == d)
+    pairs = allowed.select("query_id", key).distinct().join(fits(queries).select("query_id", F.col(vector).alias("_q")), "query_id").join(fits(chunks).select(key, F.col(vector).alias("_x")), key)
+    far = 1 - V.cosine("_x", "_q") if metric == "cosine" else F.sqrt(V.squared_distance("_x", "_q"))
+    far = F.coalesce(far, F.lit(1.0)) if metric == "cosine" else far
+    return ranked(pairs.select("query_id", key, far.cast("double").alias("distance")), ["query_id"], ["distance", key], k)
+
+
 def _nearest(ids: list, vectors: list, k: int, metric: str, key: str, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 

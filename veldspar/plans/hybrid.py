@@ -54,8 +54,7 @@ def retrieve(
     lex = lexical.bm25(chunks.select(key, "text"), words, key, lexical_top)
     if allowed is not None:
         lex = lex.join(allowed, ["query_id", key], "left_semi")
-        near = retrieval.nearest(chunks.join(allowed.select(key).distinct(), key, "left_semi"), queries, pool * 4, "l2", key)
-        near = lexical.ranked(near.drop("rank").join(allowed, ["query_id", key], "left_semi"), ["query_id"], ["distance", key], pool)
+        near = retrieval.nearest_allowed(chunks, queries, allowed, pool, "l2", key)
     else:
         near = retrieval.nearest(chunks, queries, pool, "l2", key)
     found = retrieval.candidates(lex, near, pool, allowed, key)
