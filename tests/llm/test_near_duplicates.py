@@ -163,3 +163,28 @@ def test_batches_of_odd_rows(spark):
     assert h.add(df.limit(0)).count() == 0
     assert {(r.id, r.rejected) for r in h.add(df).collect()} == {("o", False), ("a", True), ("b", True)}
     assert {(r.id, r.rejected) for r in h.add(df.where("id = 'b'").withColumn("id", F.lit("z"))).collect()} == {("z", True)}
+
+
+def test_history_goes_on_in_a_later_session(spark, tmp_path):
+    path = f"file://{tmp_path}/history"
+    rows = batches(3, 40)
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], BATCH)
+    got, want = {}, brute_rejected(rows, 0.5, 3)
+    for o in range(4):
+        h = History(spark, path, threshold=0.5, shingle=3, fan_in=2)
+        got |= {r.id: r.rejected for r in h.add(df.where(F.col("ord") == o)).collect()}
+        h.work.close()  # as at exit
+    assert {k for k, v in got.items() if v} == want and (tmp_path / "history").exists()
+    again = History(spark, path, threshold=0.5, shingle=3, fan_in=2)
+    assert {r.id: r.rejected for r in again.add(df).collect()} == got
+    with pytest.raises(ValueError):
+        History(spark, path, threshold=0.6, shingle=3)
+
+
+def test_redelivered_ids_keep_their_first_verdict(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [("a", None, 0, t), ("b", None, 0, t), ("n", None, 0, None)]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], BATCH)
+    h = History(spark, None)
+    first = {(r.id, r.rejected) for r in h.add(df).collect()}
+    assert first == {("a", False), ("b", True)} == {(r.id, r.rejected) for r in h.add(df.withColumn("ord", F.lit(1)).withColumn("text", F.coalesce("text", F.lit(t)))).collect()}

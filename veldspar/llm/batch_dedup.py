@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,30 +50,96 @@ def _keyed(shingle: int, least: int, keys: int, depth: int):
 
 
 class History:
-    """The accepted records: sets and digests, and sorted runs of keys, all in files under one folder.
+    """The accepted records: sets and digests, runs of keys, and the first verdict of every id, in files under one folder.
 
-    ``runs/level=L/run=N`` holds a delivery's keys, partitioned by key range and sorted within; a delivery is compared only
-    with the windows of equal keys in the ranges.  After ``fan_in`` runs of one level these are merged into one of the next.
+    A run holds a delivery's keys, partitioned by key range and sorted within; a delivery is compared only with the records of
+    equal keys.  After ``fan_in`` runs of one level these are merged into one of the next.
+    With a ``path``, a manifest there names the tables that count, written anew after each delivery; a later ``History`` on the
+    same path goes on from it, and the folder is never deleted.  One writer at a time.  Without a path all goes at exit.
     """
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.8, shingle: int = 5, least_words: int = 8, keys: int = KEYS, depth: int = DEPTH, fan_in: int = 8, cap: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None, threshold: float = 0.8, shingle: int = 5, least_words: int = 8, keys: int = KEYS, depth: int = DEPTH, fan_in: int = 8, cap: int = 64):
         self.spark, self.path, self.threshold, self.shingle, self.least_words = spark, path, threshold, shingle, least_words
         self.keys, self.depth, self.fan_in, self.cap = keys, depth, fan_in, cap
         self.runs: list[list[DataFrame]] = [[]]
         self.sets: list[DataFrame] = []
-        self.work = Workspace(spark, "history") if path is None else _at(spark, path)
+        self.seen: list[DataFrame] = []
+        self.work = Workspace(spark, "history")
+        if path is not None:
+            self._load()
+
+    def _form(self) -> dict:
+        return {"threshold": self.threshold, "shingle": self.shingle, "least_words": self.least_words, "keys": self.keys, "depth": self.depth}
+
+    def _file(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _load(self) -> None:
+        fs, p = self._file("")
+        names = [str(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        names = sorted(n for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        self.version = int(names[-1][9:-5]) if names else 0
+        if not names:
+            return
+        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.path}/{names[-1]}", wholetext=True).collect())
+        m = json.loads(text)
+        if m["form"] != self._form():
+            raise ValueError(f"the history in {self.path} was made with {m['form']}")
+        self.runs = [[self._table(n, "key bigint, id string") for n in level] for level in m["runs"]]
+        self.sets = [self._table(n, "id string, part string, cls binary, bag array<int>") for n in m["sets"]]
+        self.seen = [self._table(n, "id string, rejected boolean") for n in m["seen"]]
+
+    def _table(self, name: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        out.workspace_path = f"{self.path}/{name}"
+        return out
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table of the history."""
+        if self.path is None:
+            return self.work.cut(df, name)
+        name = f"{name}-{uuid.uuid4().hex[:12]}"
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self._table(name, df.schema)
+
+    def _save(self, old: list[DataFrame]) -> None:
+        """Name the tables that count, in a new manifest; then ``old`` ones, merged into others, can go."""
+        if self.path is not None:
+            name = lambda t: t.workspace_path.rpartition("/")[2]
+            m = {"form": self._form(), "runs": [[name(r) for r in level] for level in self.runs], "sets": [name(s) for s in self.sets], "seen": [name(s) for s in self.seen]}
+            self.version += 1
+            fs, part = self._file(f"_manifest-{self.version:09d}")
+            out = fs.create(part, True)
+            out.write(bytearray(json.dumps(m).encode()))
+            out.close()
+            _, last = self._file(f"manifest-{self.version:09d}.json")
+            if not fs.rename(part, last):
+                raise OSError(f"{last.toString()} could not be written")
+            if self.version > 1:
+                fs.delete(self._file(f"manifest-{self.version - 1:09d}.json")[1], False)
+        for t in old:
+            self.work.drop(t)
 
     def _history(self) -> tuple[DataFrame | None, DataFrame | None]:
         runs = [r for level in self.runs for r in level]
-        union = lambda x: None if not x else x[0] if len(x) == 1 else union([x[0].unionByName(x[1]), *x[2:]])
-        return union(runs), union(self.sets)
+        return self._union(runs), self._union(self.sets)
+
+    @staticmethod
+    def _union(tables: list[DataFrame]) -> DataFrame | None:
+        out = None
+        for t in tables:
+            out = t if out is None else out.unionByName(t)
+        return out
 
     def add(self, new: DataFrame) -> DataFrame:
         """Take a delivery ``(id string, part string, ord, text string)`` and return ``(id, rejected)`` for each id that takes part.
 
         Records count in the order ``(ord, id)``; one is rejected if a record accepted before, of this or an earlier delivery
         and of the same ``part``, has a Jaccard of its shingles of at least ``threshold``.  A delivery may hold several batches; the result
-        is that of adding them one by one.  A repeated id counts once, at its first place.  Null ids and null, empty or
+        is that of adding them one by one.  A repeated id counts once, at its first place; in a later delivery it keeps its first
+        verdict.  Null ids and null, empty or
         short texts take no part and have no row.  Of equal texts in one part only the first is compared; the others follow
         it, since each is at least as similar to it as to anything that rejects it.
         Windows of more than ``cap`` new records are not paired off: their members are joined exactly on their rarest shingles,
@@ -79,6 +148,11 @@ class History:
         w, t = self.work, self.threshold
         new = new.where("id is not null").select("id", F.coalesce("part", F.lit("")).alias("part"), F.col("ord").cast("bigint").alias("ord"), "text")
         new = new.groupBy("id").agg(F.min(F.struct("ord", "part", "text")).alias("s")).select("id", "s.part", "s.ord", "s.text")
+        ids, again = new.select("id"), None
+        if self.seen:
+            known = self._union(self.seen)
+            again = w.cut(ids.join(known, "id"), "again")
+            new = new.join(again.select("id"), "id", "left_anti")
         schema = "id string, part string, ord bigint, cls binary, bag array<int>, keys array<bigint>"
         every = w.cut(new.mapInArrow(_keyed(self.shingle, self.least_words, self.keys, self.depth), schema), "delivery")
         runs, sets = self._history()
@@ -94,14 +168,16 @@ class History:
             old = self._similar(pairs, sets.select(F.col("id").alias("a"), "part", "bag"), heads)
             rejected = w.cut(old.select(F.col("b").alias("rid")).distinct(), "rejected-old")
         rejected = self._within(keyed, heads, rejected)
-        keep = w.cut(heads.join(rejected, "rid", "left_anti").select("id", "part", "cls", "bag"), "accepted")
+        keep = self._keep(heads.join(rejected, "rid", "left_anti").select("id", "part", "cls", "bag"), "accepted")
         self.sets.append(keep)
         run = keyed.join(keep.select("id"), "id", "left_semi").select("key", "id").repartitionByRange("key").sortWithinPartitions("key", "id")
-        self.runs[0].append(w.cut(run, "run-0"))
+        self.runs[0].append(self._keep(run, "run-0"))
         result = every.select("id").join(keep.select("id", F.lit(False).alias("ok")), "id", "left").select("id", F.col("ok").isNull().alias("rejected"))
         result = w.cut(result, "result")  # written, since compaction deletes what it would be read from
-        self._compact()
-        return result
+        fresh = new.select("id").join(result, "id", "left")  # null: takes no part
+        self.seen.append(self._keep(fresh, "seen"))
+        self._save(self._compact())
+        return result if again is None else result.unionByName(again.where("rejected is not null"))
 
     def _similar(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` of the same part that reach the threshold; left has ``a, part, bag``, right is ``heads``."""
@@ -184,31 +260,20 @@ class History:
             done = no.union(front.select(F.col("a").alias("rid"))).distinct()
             edges = w.cut(edges.join(done.select(F.col("rid").alias("a")), "a", "left_anti").join(done.select(F.col("rid").alias("b")), "b", "left_anti"), "open")
 
-    def _compact(self) -> None:
-        level = 0
+    def _compact(self) -> list[DataFrame]:
+        """Merge runs by levels, and sets; returns the tables that are no longer read."""
+        level, gone = 0, []
         while level < len(self.runs) and len(self.runs[level]) >= self.fan_in:
-            merged = self.runs[level][0]
-            for r in self.runs[level][1:]:
-                merged = merged.unionByName(r)
-            merged = self.work.cut(merged.repartitionByRange("key").sortWithinPartitions("key", "id"), f"run-{level + 1}")
-            for r in self.runs[level]:
-                self.work.drop(r)
+            merged = self._union(self.runs[level])
+            merged = self._keep(merged.repartitionByRange("key").sortWithinPartitions("key", "id"), f"run-{level + 1}")
+            gone += self.runs[level]
             self.runs[level] = []
             if level + 1 == len(self.runs):
                 self.runs.append([])
             self.runs[level + 1].append(merged)
             level += 1
-        if len(self.sets) >= 2 * self.fan_in:
-            old, self.sets = self.sets, []
-            merged = old[0]
-            for s in old[1:]:
-                merged = merged.unionByName(s)
-            self.sets = [self.work.cut(merged, "accepted-all")]
-            for s in old:
-                self.work.drop(s)
-
-
-def _at(spark: SparkSession, path: str) -> Workspace:
-    w = Workspace(spark, "history")
-    w.root = path
-    return w
+        for name in ("sets", "seen"):
+            if len(old := getattr(self, name)) >= 2 * self.fan_in:
+                setattr(self, name, [self._keep(self._union(old), f"{name}-all")])
+                gone += old
+        return gone
