@@ -159,3 +159,12 @@ def test_residue(spark):
 
 def test_words():
     assert words("Foo_bar é1, x") == ["foo", "bar", "é1", "x"] and words(None) == []
+
+
+def test_answers_cut_inside_open_markup():
+    from veldspar.llm.replies import is_truncated
+
+    for cut in ("See the **final", "Run `make inst", "<ul><li>Mix the flour.</li>\n<li>Bake it.", "It is <b>done now."):
+        assert is_truncated(cut), cut
+    for whole in ("See the **final** part.", "Run `make install`.", "<ul><li>Mix the flour.</li>\n<li>Bake it.</li></ul>", "<p>One.\n<p>Two.", "2 ** 3 is 8.", "Use `a ** b` here.", "**Note** and `x`, 5 < 6.", "Line one.<br>Line two."):
+        assert not is_truncated(whole), whole

@@ -69,6 +69,8 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}]+)?")
 LIST_ENTRY = regex.compile(r"^\s*(?:[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 TAIL_MARKS = regex.compile(r"(?:\s*(?:\[\d+\]|\((?:see|cf\.?|siehe|voir|véase|vedi|см\.?)[^()]*\)|[✓✔☑✅👍🙂]️?|\*{1,3}|_{1,3}|[\"”’»'“]|~+))+$")
 TERMINAL = regex.compile(r"[.!?…。！？]$")
+# Tags that need an end
+MARKUP = regex.compile(r"`+|<(?P<end>/?)(?P<tag>ul|ol|li|p|b|i|em|strong|code|pre|table|tr|td|th|div|span|blockquote|h[1-6]|a)(?:\s[^<>]*)?>|(?<![*\w])\*\*(?!\*)|\*\*(?![*])", regex.I)
 INVISIBLE = regex.compile(r"[\p{White_Space}\p{C}\p{M}ㅤᅟᅠ⠀]+")
 
 
@@ -162,13 +164,18 @@ def is_refusal(answer: str) -> bool:
 
 
 class Parser:
-    """A pushdown parser of code fences, brackets, quotations and markup; what is left on the stack was cut off."""
+    """A pushdown parser of code fences, brackets, quotations and markup; what is left on the stack was cut off.
+
+    ``stack`` has brackets and quotations, ``markup`` HTML tags, strong emphasis and inline code. A list of HTML is a tag;
+    lists of lines close with their line and are judged by their last entry.
+    """
 
     PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
     OPEN = frozenset("([{“«")
 
     def __init__(self, text: str):
         self.stack: list[str] = []
+        self.markup: list[str] = []
         fence = False
         for line in text.split("\n"):
             if regex.match(r"\s*(?:```|~~~)", line):
@@ -178,6 +185,9 @@ class Parser:
                 continue
             if fence:
                 continue
+            if not line.strip() and self.markup:  # emphasis and inline code end with their paragraph
+                self.markup = [m for m in self.markup if m.startswith("<")]
+            self._mark(line)
             quotes = 0
             for i, c in enumerate(line):
                 if c in self.OPEN:
@@ -196,6 +206,31 @@ class Parser:
                 self.stack.remove('"') if '"' in self.stack else self.stack.append('"')
         self.fence = fence
 
+    def _mark(self, line: str) -> None:
+        """Push and pop the markup of a line; within inline code nothing else counts."""
+        for m in MARKUP.finditer(line):
+            mark = m[0]
+            code = next((x for x in self.markup if x[0] == "`"), None)
+            if code or mark[0] == "`":
+                if not code:
+                    self.markup.append(mark)
+                elif mark == code:
+                    self.markup.remove(mark)
+            elif mark[0] == "<":
+                tag = "<" + m["tag"].lower()
+                if m["end"]:
+                    if tag in self.markup:
+                        while self.markup.pop() != tag:
+                            pass
+                elif not mark.endswith("/>"):
+                    if tag in ("<li", "<p") and self.markup and self.markup[-1] == tag:
+                        continue  # the one before ends without a tag
+                    self.markup.append(tag)
+            elif mark in self.markup:
+                self.markup.remove(mark)
+            elif line[m.end() : m.end() + 1].strip() and not line[: m.start()][-1:].isalnum():
+                self.markup.append(mark)
+
 
 def ends_open(line: str) -> bool:
     """Whether a line breaks off: a word that nothing ends with, an open mark, or an abbreviation."""
@@ -208,7 +243,7 @@ def ends_open(line: str) -> bool:
 def is_truncated(answer: str) -> bool:
     text = INVISIBLE.sub(lambda m: "\n" if "\n" in m[0] else " ", answer).strip()
     p = Parser(text)
-    if p.fence:
+    if p.fence or any(m not in ("<p", "<li") for m in p.markup):
         return True
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1].strip()
