@@ -279,3 +279,11 @@ def test_allowed_rows_are_filtered_before_the_dense_cut(spark):
     got = hybrid.retrieve(docs, q, k=3, metric="w2", adaptive=False, allowed=allowed, key="doc_id").where("query_id = 1").collect()
     alone = hybrid.retrieve(docs, q.where("query_id = 1"), k=3, metric="w2", adaptive=False, allowed=allowed.where("query_id = 1"), key="doc_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, alone)) and {r.arm for r in got} == {1}
+
+
+def test_kmeans_seeds_from_all_rows(spark):
+    df = spark.range(2400).withColumnRenamed("id", "k")
+    last = df.orderBy(F.xxhash64("k"), "k").tail(1)[0]["k"]  # beyond any sample of the least hashes
+    vec = F.when(F.col("k") == last, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.rand(3) * 0.01))
+    leaves = taxonomy.spherical_kmeans(df.select("k", vec.alias("mu")), 2, "k").collect()
+    assert max(r.centroid[1] for r in leaves) > 0.999

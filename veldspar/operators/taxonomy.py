@@ -1,4 +1,4 @@
-"""A two-level taxonomy over vectors: spherical k-means, secondary leaves, labels and routing."""
+"""A taxonomy over vectors, of one level: spherical k-means, secondary leaves, labels and routing."""
 
 from __future__ import annotations
 
@@ -36,26 +36,36 @@ def centroids(rows: DataFrame, leaf: str = "leaf", vector: str = "mu") -> DataFr
     return each.groupBy(F.col(leaf).alias("leaf")).agg(V.normalised(F.transform(ordered, lambda s: s["x"])).alias("centroid"))
 
 
-def spherical_kmeans(rows: DataFrame, k: int, key: str, vector: str = "mu", rounds: int = 10, sample: int = 2000) -> DataFrame:
-    """``(leaf, centroid)`` after farthest-first seeding on a bounded sample and ``rounds`` of assignment over all rows.
+def spherical_kmeans(rows: DataFrame, k: int, key: str, vector: str = "mu", rounds: int = 30) -> DataFrame:
+    """``(leaf, centroid)`` after farthest-first seeding and at most ``rounds`` of assignment, both over all rows.
 
-    The seeds are the sampled row of the least hash, and then, again and again, the one least similar to all before.
-    A leaf that loses its rows keeps its centroid.
+    The seeds are the row of the least hash, and then, again and again, the one least similar to all before.  A leaf that
+    loses its rows gets the row least similar to its own centroid, several such leaves different ones.
     """
     spark = rows.sparkSession
-    drawn = rows.select(key, V.normalised(V.doubles(vector)).alias("x")).orderBy(F.xxhash64(key), key).limit(sample).select("x").toArrow().column("x").to_pylist()
-    x = np.array(drawn, np.float64)
-    if not len(x):
+    units = rows.select(key, V.normalised(V.doubles(vector)).alias("x")).where(F.col("x").isNotNull())
+    order = (F.xxhash64(key), F.col(key))
+    head = units.orderBy(*order).select("x").first()
+    if head is None:
         return spark.createDataFrame([], "leaf int, centroid array<double>")
-    chosen, close = [0], x @ x[0]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argmin(close)))
-        close = np.maximum(close, x @ x[chosen[-1]])
-    current = [(i, x[c].tolist()) for i, c in enumerate(chosen)]
+
+    def far(chosen: list[list[float]], count: int) -> list[list[float]]:
+        """The ``count`` rows least similar to all the chosen."""
+        near = units.crossJoin(F.broadcast(spark.createDataFrame([(chosen,)], "seeds array<array<double>>")))
+        near = near.withColumn("near", F.array_max(F.transform("seeds", lambda c: V.dot(F.col("x"), c))))
+        return [list(r["x"]) for r in near.orderBy("near", *order).limit(count).select("x").collect()]
+
+    chosen = [list(head["x"])]
+    for _ in range(min(k, units.count()) - 1):
+        chosen += far(chosen, 1)
+    current = list(enumerate(chosen))
     for _ in range(rounds):
         seeds = spark.createDataFrame(current, "leaf int, centroid array<double>")
         own = assign(rows, seeds, key, vector).where("rank = 1").select(key, "leaf")
         new = {r["leaf"]: r["centroid"] for r in centroids(rows.join(own, key), "leaf", vector).collect()}  # k rows
+        empty = [i for i, _ in current if i not in new]
+        if empty:
+            new |= dict(zip(empty, far([c for _, c in current], len(empty))))
         moved = [(i, new.get(i, c)) for i, c in current]
         change = max(float(np.abs(np.subtract(a[1], b[1])).max()) for a, b in zip(moved, current))
         current = moved
