@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -64,11 +65,14 @@ class Workspace:
         self._count += 1
         return f"{self.root}/{self._count:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+    def cut(self, df: DataFrame, name: str = "t", count: bool = False) -> DataFrame:
+        """Write a table and read it again; with ``count``, its ``rows`` are counted as it is written."""
+        path, seen = self.path(name), Observation()
+        (df.observe(seen, F.count(F.lit(1)).alias("n")) if count else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.workspace_path = path
+        if count:
+            out.rows = seen.get["n"]
         return out
 
     def drop(self, df: DataFrame | None) -> None:
