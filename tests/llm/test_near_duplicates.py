@@ -133,7 +133,7 @@ def batches(seed, n=120):
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize("cap", [64, 2])
+@pytest.mark.parametrize("cap", [512, 2])
 def test_rejections_equal_one_by_one(spark, cap):
     rows = batches(9)
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], BATCH)
@@ -152,7 +152,34 @@ def test_deliveries_one_by_one_and_compaction(spark):
     for o in range(4):
         got |= {r.id for r in h.add(df.where(F.col("ord") == o)).where("rejected").collect()}
     assert got == brute_rejected(rows, 0.5, 3)
-    assert len(h.runs) > 1
+    assert len(h.keys) > 1 and len(h.ids) > 1
+
+
+def test_a_small_delivery_reads_few_ranges(spark):
+    rng = random.Random(12)
+    rows = [(f"r{i:05d}", "p", 0, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(3000)]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], BATCH)
+    h = History(spark, None, threshold=0.5, shingle=3, range_rows=500)
+    assert not h.add(df).where("rejected").count()
+    assert h.keys[0][0]["bits"] >= 6
+    again = spark.createDataFrame([("z", "p", 1, rows[7][3] + " more", "k", 1)], BATCH)
+    read = []
+    ranges = h._ranges
+    h._ranges = lambda levels, schema, wanted: read.append(len(wanted)) or ranges(levels, schema, wanted)
+    assert [(r.id, r.rejected) for r in h.add(again).collect()] == [("z", True)]
+    assert read and max(read) <= 11  # of 4,096 leading bits, those of ten keys
+
+
+def test_the_order_is_made_anew_when_the_history_grows_or_a_key_is_hot(spark):
+    rows = batches(8, 60)
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], BATCH)
+    h = History(spark, None, threshold=0.5, shingle=3)
+    got = set()
+    for o in range(4):
+        h.stale = o > 0
+        got |= {r.id for r in h.add(df.where(F.col("ord") == o)).where("rejected").collect()}
+        assert not h.stale
+    assert got == brute_rejected(rows, 0.5, 3)
 
 
 def test_batches_of_odd_rows(spark):

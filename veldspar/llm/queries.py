@@ -46,11 +46,14 @@ def _batches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """The first load builds the history; the batches after it come as one delivery and are merged with it."""
-    history = History(spark, None, threshold=0.5, shingle=3)
-    rows = _batches(spark, root)
-    loads = [history.add(rows.where("ord <= 0")), history.add(rows.where("ord > 0 or ord is null"))]
-    return loads[0].unionByName(loads[1]).where("rejected").select(F.col("id").alias("sample_id")).distinct()
+    """Every batch is a delivery of its own, to the history that the one before has left in its folder; rows without a number come last."""
+    path = Workspace(spark, "p4").path("history")
+    rows, out = _batches(spark, root), None
+    numbers = sorted((r["ord"] for r in rows.select("ord").distinct().collect()), key=lambda x: (x is None, x or 0))
+    for n in numbers:
+        rejected = History(spark, path, threshold=0.5, shingle=3).add(rows.where(F.col("ord").eqNullSafe(F.lit(n)))).where("rejected").select(F.col("id").alias("sample_id"))
+        out = rejected if out is None else out.unionByName(rejected)
+    return out.distinct() if out is not None else rows.select(F.col("id").alias("sample_id")).limit(0)
 
 
 def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
