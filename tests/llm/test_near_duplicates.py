@@ -88,6 +88,30 @@ def test_hot_buckets_equal_brute_force(spark):
     assert pairs(spark, rows, threshold=0.5, shingle=3, cap=4) == brute_groups(rows, 3, 0.5)
 
 
+def test_bags_equal_brute_force(spark):
+    from collections import Counter
+
+    rng = random.Random(6)
+    rows = []
+    for f in range(12):
+        base = [f"w{f}-{i}" for i in range(12)]
+        rows += [(f"r{f}-{j}", " ".join(base + base[:6] * rng.randrange(0, 4))) for j in range(5)]
+    bag = {k: Counter(zip(*(words(t)[i:] for i in range(3)))) for k, t in rows}
+    par = {k: k for k in bag}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a, b in itertools.combinations(bag, 2):
+        if sum((bag[a] & bag[b]).values()) >= 0.8 * sum((bag[a] | bag[b]).values()):
+            par[find(a)] = find(b)
+    got = pairs(spark, rows, shingle=3, multiset=True)
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(bag), 2) if find(a) == find(b)}
+    assert got != pairs(spark, rows, shingle=3)  # counts matter here
+
+
 def test_odd_rows(spark):
     long = " ".join(f"z{i}" for i in range(30_000))
     t = "one two three four five six seven eight nine ten"

@@ -87,12 +87,12 @@ def test_leaks(spark):
     items = spark.createDataFrame([(1, item), (2, "short item text here"), (3, None), (4, ""), (5, item.replace("Marwell", "Yyy"))], "item_id bigint, text string")
     docs = [(1, f"Before it. {item.upper()}! After."), (2, " ".join(item.split()[2:14])), (3, " ".join(item.split()[2:13])), (4, f"x SHORT,item\ntext_here y"), (5, None), (6, ""), (7, other), (1, f"Before it. {item.upper()}! After.")]
     df = spark.createDataFrame([(k, t, "clash") for k, t in docs], "doc_id bigint, text string, item_id string")
-    got = leaks(df, items, Workspace(spark, "t"))
+    got = leaks(df, items)
     assert {(r.doc_id, r.item_id) for r in got.where("kind = 'verbatim'").collect()} >= {(1, 1), (2, 1), (4, 2)}
     assert not {r.doc_id for r in got.where("kind = 'verbatim'").collect()} & {3, 5, 6, 7}
     assert 7 in {r.doc_id for r in got.where("kind = 'parameters'").collect()}
-    assert leaks(df.limit(0), items, Workspace(spark, "t")).count() == 0
-    assert leaks(df, items.limit(0), Workspace(spark, "t")).count() == 0
+    assert leaks(df.limit(0), items).count() == 0
+    assert leaks(df, items.limit(0)).count() == 0
 
 
 Q = "What does the quorix do to the retroactive appeal bundle?"

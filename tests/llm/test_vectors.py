@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from veldspar.llm import vectors as V
-from veldspar.llm.clusters import louvain, similarity_clusters
+from veldspar.llm.clusters import _spread, louvain, similarity_clusters
 from veldspar.llm.graph import connected_components
 from veldspar.llm.similar import most_similar
 from veldspar.session import Workspace
@@ -107,15 +107,28 @@ def test_louvain_finds_two_cliques():
     assert len(set(c[:5])) == len(set(c[5:])) == 1 and c[0] != c[9]
 
 
-def test_large_components_by_rounds(spark, monkeypatch):
-    import veldspar.llm.clusters as C
-
-    monkeypatch.setattr(C, "MOST_LOCAL", 3)
+def test_large_components_over_all_tasks(spark):
     x, s = clustered(6, clusters=3, noise=20, spread=0.03)
-    got = similarity_clusters(frame(spark, rows_of(x, s)), Workspace(spark, "t"), d=D).collect()
+    got = similarity_clusters(frame(spark, rows_of(x, s)), Workspace(spark, "t"), d=D, most_local=3).collect()
     assert {r.cluster_id for r in got} == {"c00000", "c00015", "c00030"}
 
 
+def test_levels_over_all_tasks_reach_the_modularity_of_one_task(spark):
+    rng = np.random.default_rng(4)
+    block = np.arange(80) // 20
+    e = [(a, b) for a in range(80) for b in range(a + 1, 80) if rng.random() < (0.4 if block[a] == block[b] else 0.01)]
+    a, b = np.array(e).T
+
+    def modularity(c):
+        d = np.bincount(np.concatenate([a, b]), minlength=80)
+        return (c[a] == c[b]).mean() - sum((d[c == k].sum() / (2 * len(e))) ** 2 for k in set(c.tolist()))
+
+    df = spark.createDataFrame([(int(x), int(y), 1.0) for x, y in e], "a bigint, b bigint, s double")
+    got = {r.k: r.community for r in _spread(df, Workspace(spark, "t"), 10).collect()}
+    wide = np.array([got[i] for i in range(80)])
+    assert modularity(wide) >= 0.95 * modularity(louvain(a, b, np.ones(len(e)), 80))
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (5, 5)]
     df = spark.createDataFrame([(b, a) if a % 3 else (a, b) for a, b in e], "a bigint, b bigint")

@@ -11,7 +11,7 @@ from veldspar.llm import vectors as V
 from veldspar.llm.graph import connected_components
 from veldspar.session import Workspace
 
-MOST_LOCAL = 20_000
+MOST_LOCAL = 20_000  # nodes of a graph that one task holds
 
 
 def direction(mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,31 +310,62 @@ def _communities(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(lead[com]), pa.array(degree)], names=["k", "community", "degree"])
 
 
-def _spread(edges: DataFrame, work: Workspace, rounds: int = 8) -> DataFrame:
-    """Communities of components too large for one task: synchronous modularity moves, as joins and sums.
+def _moved(edges: DataFrame, work: Workspace, settled: float = 0.01, most_rounds: int = 100) -> DataFrame:
+    """``(k, c)``: one level of modularity moves for graphs too large for one task, as joins and sums, until no more than a share ``settled`` of the nodes moves.
 
     In each round half of the nodes, by hash and round, may move, so that two neighbours do not swap for ever.
     """
-    both = work.cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).select("a", "b", "s"), "both")
-    degree = work.cut(both.groupBy("a").agg(F.sum("s").alias("d")), "degree")
+    loops = edges.where("a = b").select("a", (2 * F.col("s")).alias("s"))
+    off = edges.where("a <> b")
+    both = work.cut(off.union(off.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).select("a", "b", "s"), "both")
+    degree = work.cut(both.select("a", "s").unionByName(loops).groupBy("a").agg(F.sum("s").alias("d")), "degree", True)
     m2 = degree.agg(F.sum("d")).first()[0]
     label = work.cut(degree.select(F.col("a").alias("k"), F.col("a").alias("c"), "d"), "labels")
-    for i in range(rounds):
+    for i in range(most_rounds):
         totals = label.groupBy("c").agg(F.sum("d").alias("t"))
         pull = both.join(label.select(F.col("k").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("s").alias("x"))
         mine = label.select(F.col("k").alias("a"), F.col("c").alias("own"), "d")
+        stay = mine.select("a", F.col("own").alias("c"), F.lit(0.0).alias("x"))  # one's own community counts even without a link into it
+        pull = pull.unionByName(stay).groupBy("a", "c").agg(F.sum("x").alias("x"))
         gains = pull.join(totals, "c").join(mine, "a")
         gain = F.col("x") - F.col("d") * (F.col("t") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0.0)) / F.lit(m2)
         best = gains.groupBy("a").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), (-F.col("c")).alias("c"))).alias("s"))
         may = F.pmod(F.xxhash64("k", F.lit(i)), F.lit(2)) == 0
         new = label.join(best.select(F.col("a").alias("k"), (-F.col("s.c")).alias("to")), "k", "left")
-        new = work.cut(new.select("k", F.when(may & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("c")).alias("c"), "d"), "labels")
+        wish = F.col("to").isNotNull() & (F.col("to") != F.col("c"))
+        new = work.cut(new.select("k", F.when(may & wish, F.col("to")).otherwise(F.col("c")).alias("c"), "d", wish.alias("wish")), "labels")
+        wishes = new.where("wish").count()
         work.drop(label)
-        label = new
-    c = label.select("k", "c")
-    inner = both.join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b").where("ca = cb").groupBy("a").agg(F.sum("s").alias("degree"))
-    names = c.groupBy("c").agg(F.min("k").alias("community"))
-    return c.join(names, "c").join(inner.withColumnRenamed("a", "k"), "k", "left").select("k", "community", F.coalesce("degree", F.lit(0.0)).alias("degree"))
+        label = new.drop("wish")
+        label.workspace_path = new.workspace_path
+        if wishes <= settled * degree.rows:
+            break
+    return label.select("k", "c")
+
+
+def _spread(edges: DataFrame, work: Workspace, most_local: int) -> DataFrame:
+    """Communities of components too large for one task, by the same levels of moves: a level's communities are the next one's nodes.
+
+    Levels are moved by ``_moved`` until the graph of the communities is small enough to be finished in one task, or no longer shrinks.
+    """
+    level, names, nodes = work.cut(edges.select("a", "b", "s"), "level"), None, None
+    while True:
+        moved = work.cut(_moved(level, work), "moved", True)
+        names = moved.select("k", "c") if names is None else work.cut(names.withColumnRenamed("c", "m").join(moved.withColumnRenamed("k", "m"), "m").select("k", "c"), "names")
+        count = moved.select("c").distinct().count()
+        low = level.join(moved.toDF("a", "ca"), "a").join(moved.toDF("b", "cb"), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("s").alias("s"))
+        level = work.cut(low, "level")
+        if count <= most_local or count == nodes or count == moved.rows:
+            break
+        nodes = count
+    if count <= most_local and count > 1:
+        ab = F.concat(F.to_binary(F.lpad(F.hex("a"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("b"), 16, "0"), F.lit("hex")))
+        last = level.select(F.lit(0).cast("bigint").alias("component"), ab.alias("ab"), "s").coalesce(1).mapInArrow(_communities, "k bigint, community bigint, degree double")
+        names = names.withColumnRenamed("c", "m").join(last.select(F.col("k").alias("m"), F.col("community").alias("c")), "m", "left").select("k", F.coalesce("c", "m").alias("c"))
+    c = work.cut(names, "communities")
+    inner = edges.join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b").where("ca = cb").select(F.explode(F.array("a", "b")).alias("k"), "s").groupBy("k").agg(F.sum("s").alias("degree"))
+    lead = c.groupBy("c").agg(F.min("k").alias("community"))
+    return c.join(lead, "c").join(inner, "k", "left").select("k", "community", F.coalesce("degree", F.lit(0.0)).alias("degree"))
 
 
 def similarity_clusters(
@@ -351,6 +382,7 @@ def similarity_clusters(
     settled: float = 0.02,
     missed: float = 0.1,
     typical: int = 3,
+    most_local: int = MOST_LOCAL,
 ) -> DataFrame:
     """``(cluster_id, id, size, community, degree, typical)``: the members of each cluster of at least ``least`` rows.
 
@@ -359,8 +391,8 @@ def similarity_clusters(
     or through others are one cluster, named by its least id.  Links that full lists leave out are found between the components
     of the lists (see ``across``).  Within it, modularity finds communities; a row's ``degree``
     is the weight of its links inside its community, and the cluster's ``typical`` rows are those of the highest degree.
-    Equal directions are one node of the graph and come out under every id.  Communities are found in one task per cluster
-    of up to 20,000 distinct links' ends, and by rounds of joins in larger ones.
+    Equal directions are one node of the graph and come out under every id.  Communities are those of the Louvain levels; a cluster
+    of more than ``most_local`` nodes has its levels moved by joins over all tasks, until its communities are few enough for one.
     Null ids are dropped, an empty table gives no rows, and other columns are ignored.
     """
     store = V.Vectors(df, key, version, ["mu"], direction, d, 1, d, work, 1)
@@ -378,11 +410,11 @@ def similarity_clusters(
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("k").alias("nodes"), F.min("id").alias("cluster_id")).where(F.col("size") >= least)
     sizes = work.cut(sizes, "sizes")
     inside = links.join(comp.select(F.col("node").alias("a"), "component"), "a").join(sizes.select("component", "nodes"), "component")
-    small = inside.where(F.col("nodes") <= MOST_LOCAL)
+    small = inside.where(F.col("nodes") <= most_local)
     packed = small.select("component", F.concat(F.to_binary(F.lpad(F.hex("a"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("b"), 16, "0"), F.lit("hex"))).alias("ab"), "s")
     local = packed.repartition("component").sortWithinPartitions("component").mapInArrow(_communities, "k bigint, community bigint, degree double")
-    large = inside.where(F.col("nodes") > MOST_LOCAL).select("a", "b", F.col("s").cast("double").alias("s"))
-    described = local if large.isEmpty() else local.unionByName(_spread(large, work))
+    large = inside.where(F.col("nodes") > most_local).select("a", "b", F.col("s").cast("double").alias("s"))
+    described = local if large.isEmpty() else local.unionByName(_spread(large, work, most_local))
     out = members.join(sizes, "component").join(described, "k", "left")
     first = F.min("id").over(Window.partitionBy("cluster_id", "community"))
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("degree"), "id"))

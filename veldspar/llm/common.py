@@ -27,15 +27,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def first_version(df: DataFrame, key: str, value: Column, order: Column, latest: bool = False) -> DataFrame:
-    """One row ``(key, value)`` per key: that with the least (or greatest) ``order``, ties by the value itself.
+def one_row_each(df: DataFrame, key: str, *values: str) -> DataFrame:
+    """``(key, *values)``: one row per key, of several different ones the least; null keys are dropped, since they identify no record.
 
-    Null keys are dropped, since they identify no record.  The aggregate combines on the map side, so a key with a third
-    of all rows costs no more than another.
+    Only keys are counted over all rows.  The values of a key that comes once are never shuffled; those of the others are, and they combine on the map side, so a key
+    with a third of all rows costs no more than another.
     """
-    pick = F.max if latest else F.min
-    s = pick(F.struct(order.alias("o"), value.alias("v")))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(s.alias("s")).select(key, F.col("s.v").alias("value"))
+    rows = df.where(F.col(key).isNotNull()).select(key, *values)
+    more = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    once = keep_by(rows, more, key, "left_anti")
+    again = keep_by(rows, more, key, "left_semi").groupBy(key).agg(F.min(F.struct(*values)).alias("s")).select(key, *[F.col(f"s.{v}").alias(v) for v in values])
+    return once.select(key, *values).unionByName(again)
+
+
+def keep_by(df: DataFrame, keys: DataFrame, column: str, how: str, most: int = 500_000) -> DataFrame:
+    """A semi or anti join that broadcasts the keys where a count shows them to be few, and shuffles beyond."""
+    few = keys.limit(most + 1).count() <= most
+    return df.join(F.broadcast(keys) if few else keys, column, how)
 
 
 class WordHashes:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import GOLDEN, WordHashes, mix, shingle_sets, to_lists
+from veldspar.llm.common import GOLDEN, WordHashes, keep_by, mix, shingle_sets, to_lists
 from veldspar.llm.graph import connected_components
 from veldspar.session import Workspace
 
@@ -96,38 +96,34 @@ def _bags(n: int, least: int, multiset: bool):
         for b in batches:
             texts = b.column(2).to_pylist()
             values, offsets, counts = shingle_sets(texts, n, least, hashes)
+            base, at = values, offsets
             if multiset:  # the i-th occurrence of a shingle is an element of its own, so plain set overlap is multiset overlap
-                occurrence = np.concatenate([np.arange(c) for c in counts]) if len(counts) else np.empty(0, np.int64)
-                values = mix(np.repeat(values, counts) + occurrence.astype(np.uint64) * GOLDEN)
+                occurrence = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                values = np.where(occurrence > 0, mix(np.repeat(values, counts) + occurrence.astype(np.uint64) * GOLDEN), np.repeat(values, counts))
                 offsets = np.concatenate([[0], np.cumsum(counts)])[offsets]
-            short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
             some = np.diff(offsets) > 0
             cls = [xxhash.xxh3_128_digest(values[offsets[i] : offsets[i + 1]].tobytes()) if some[i] else None for i in range(len(texts))]
             maps = np.zeros((len(texts), BITMAP_WORDS), np.int64)
             maps[some] = _bitmaps(values, offsets)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cls, pa.binary()), to_lists(short, offsets, pa.int32()), pa.array(maps[:, 0]), pa.array(maps[:, 1])],
-                names=["id", "version", "cls", "bag", "m0", "m1"],
+                [b.column(0), b.column(1), pa.array(cls, pa.binary()), to_lists(values.view(np.int64), offsets, pa.int64()), pa.array(maps[:, 0]), pa.array(maps[:, 1])]
+                + ([to_lists(base.view(np.int64), at, pa.int64()), to_lists(counts.astype(np.int32), at, pa.int32())] if multiset else []),
+                names=["id", "version", "cls", "bag", "m0", "m1"] + (["element", "weight"] if multiset else []),
             )
 
     return run
 
 
 def bags(df: DataFrame, shingle: int = 5, least_words: int = 8, multiset: bool = False) -> DataFrame:
-    """``(id, version, cls, bag, m0, m1)`` of ``(id, version, text)``: 32-bit hashes of the word shingles, their bitmap, and a digest equal for equal bags.
+    """``(id, version, cls, bag, m0, m1)`` of ``(id, version, text)``: 64-bit hashes of the word shingles, their bitmap, and a digest equal for equal bags.
 
+    In a multiset the further occurrences of a shingle are elements of their own in ``bag``, and ``element`` and ``weight`` are the distinct ones and their counts.
     Null, empty and short texts have a null digest and an empty bag.
     """
-    schema = "id string, version bigint, cls binary, bag array<int>, m0 bigint, m1 bigint"
+    schema = "id string, version bigint, cls binary, bag array<bigint>, m0 bigint, m1 bigint" + (", element array<bigint>, weight array<int>" if multiset else "")
     return df.select("id", "version", "text").mapInArrow(_bags(shingle, least_words, multiset), schema)
 
 
-def keep_by(df: DataFrame, keys: DataFrame, column: str, how: str, most: int = 500_000) -> DataFrame:
-    """A semi or anti join that broadcasts the keys where a count shows them to be few, and shuffles beyond."""
-    few = keys.limit(most + 1).count() <= most
-    return df.join(F.broadcast(keys) if few else keys, column, how)
-
-
 def _bands(bands: int, rows: int):
     def run(batches):
         for b in batches:
@@ -137,8 +133,9 @@ def _bands(bands: int, rows: int):
                 bag = part.column(1)
                 lens = np.asarray(bag.value_lengths().fill_null(0))
                 doc = np.repeat(np.arange(len(rid)), lens)
-                element = mix(np.asarray(bag.flatten()).view(np.uint32).astype(np.uint64))
-                sig = bag_min_hash(doc, element, np.ones(len(element)), len(rid), bands * rows)
+                element = np.asarray(bag.flatten()).view(np.uint64)
+                weight = np.asarray(part.column(2).flatten()) if part.num_columns > 2 else np.ones(len(element))
+                sig = bag_min_hash(doc, element, weight, len(rid), bands * rows)
                 key = band_keys(sig, bands, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(rid, bands))], names=["key", "rid"])
 
@@ -242,6 +239,7 @@ def near_duplicate_groups(
     Members of buckets of more than ``cap`` representatives are not paired off but joined exactly on their rarest shingles;
     where such a shingle is hot again, rounds link the members to a few leaders, and in the end only members of different
     groups are compared with each other, so no link that would join two groups is lost.  Null ids, and null, empty or short texts, have no row; a repeated id is one record.
+    With ``multiset``, counts of shingles are the weights of the signatures, and the Jaccard is that of multisets, the sum of the least over that of the greatest counts.
     Defaults are five words and 0.8; with 32 bands of 3 a pair of similarity 0.5 is found with a probability of 0.986.
     """
     version = F.col("version").cast("bigint") if "version" in df.columns else F.lit(0).cast("bigint")
@@ -252,8 +250,9 @@ def near_duplicate_groups(
     last = work.cut(last.select("id", "s.cls", "s.rid").where("cls is not null"), "latest")
     classes = work.cut(last.groupBy("cls").agg(F.min("rid").alias("rid"), F.min("id").alias("rep")), "classes")
     others = every.select("rid").join(classes.select("rid"), "rid", "left_anti")
-    reps = keep_by(every.select("rid", "bag", "m0", "m1"), work.cut(others, "others"), "rid", "left_anti")
-    rows_ = reps.select("rid", "bag").mapInArrow(_bands(bands, rows), "key bigint, rid bigint")
+    hashed = ["element", "weight"] if multiset else ["bag"]
+    reps = keep_by(every.select("rid", "bag", "m0", "m1", *hashed[: 2 * multiset]), work.cut(others, "others"), "rid", "left_anti")
+    rows_ = reps.select("rid", *hashed).mapInArrow(_bands(bands, rows), "key bigint, rid bigint")
     found = rows_.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_pairs(cap), "a bigint, b bigint, hot boolean")
     found = work.cut(found, "pairs")
     edges = work.cut(verified(found.where("not hot").select("a", "b").distinct(), reps, threshold, work), "edges")
@@ -268,33 +267,39 @@ def near_duplicate_groups(
 
 
 def prefixes(members: DataFrame, threshold: float) -> DataFrame:
-    """``(key, rid)``: the rarest elements of each bag, as many as two bags of the given similarity must share one of.
+    """``(key, rid, n, rem)``: the rarest elements of each bag, as many as two bags of the given similarity must share one of.
 
     Bags x and y with a Jaccard of t share at least ceil(t|x|) elements, so, in one order of all elements, they share one
     among the first |x| - ceil(t|x|) + 1 of each; the order is by frequency, which keeps the buckets small.
+    ``n`` is the size of the bag and ``rem`` the number of its elements from this one on, which bounds what two bags that first meet here have in common.
     """
     each = members.select("rid", F.size("bag").alias("n"), F.explode("bag").alias("key"))
     df = each.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("rid").orderBy("df", "key")
     ranked = each.join(df, "key").withColumn("at", F.row_number().over(order))
-    return ranked.where((F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("df") > 1)).select(F.col("key").cast("bigint").alias("key"), "rid")
+    ranked = ranked.where((F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
+    return ranked.select(F.col("key").cast("bigint").alias("key"), "rid", "n", (F.col("n") - F.col("at") + 1).cast("int").alias("rem"))
 
 
 def _hot_links(hot: DataFrame, edges: DataFrame, reps: DataFrame, threshold: float, cap: int, work: Workspace) -> DataFrame:
     """Edges with the links among members of hot buckets: an exact prefix join, and leaders where its buckets are hot again."""
     members = keep_by(reps.select("rid", "bag"), work.cut(hot.select("rid").distinct(), "hot"), "rid", "left_semi")
-    keys = prefixes(members, threshold).repartition("key").sortWithinPartitions("key")
-    found = work.cut(keys.mapInArrow(bucket_pairs(cap), "a bigint, b bigint, hot boolean"), "hot-pairs")
+    keys = work.cut(prefixes(members, threshold), "hot-keys")
+    found = keys.select("key", "rid").repartition("key").sortWithinPartitions("key")
+    found = work.cut(found.mapInArrow(bucket_pairs(cap), "a bigint, b bigint, hot boolean"), "hot-pairs")
     edges = work.cut(edges.unionByName(verified(found.where("not hot").select("a", "b").distinct(), reps, threshold, work)), "edges")
-    members = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("rid"))
+    members = keys.join(found.where("hot").select(F.col("a").alias("key")).distinct(), "key", "left_semi")
+    # the largest bag that a member can still link with here; one below the least of its key has no partner
+    most = F.col("rem") * (1 + threshold) / threshold - F.col("n") + 1e-6
+    members = members.join(members.groupBy("key").agg(F.min("n").alias("least")), "key").withColumn("most", most).where("most >= least").select("key", "rid", "n", "most")
+    left = members = work.cut(members.distinct(), "hot")
     if members.isEmpty():
         return edges
-    left = members = work.cut(members.distinct(), "hot")
     leaders = 1
     while True:
-        at = left.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("rid")))
-        lead = at.where(F.col("at") <= leaders).select("key", F.col("rid").alias("a"))
-        pairs = left.join(lead, "key").where("rid > a").select("a", F.col("rid").alias("b"))
+        at = left.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("rid")))  # limited before the shuffle, as the filter shows
+        lead = at.where(F.col("at") <= leaders).select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"))
+        pairs = left.join(lead, "key").where("rid > a and n <= ma and na <= most").select("a", F.col("rid").alias("b"))
         if pairs.isEmpty():
             break
         new = work.cut(verified(pairs.distinct(), reps, threshold, work), "leader-edges")
@@ -302,14 +307,14 @@ def _hot_links(hot: DataFrame, edges: DataFrame, reps: DataFrame, threshold: flo
         linked = left.join(lead, "key").join(new.select("a", F.col("b").alias("rid")), ["a", "rid"], "left_semi").select("key", "rid")
         gone = linked.union(lead.select("key", F.col("a").alias("rid"))).distinct()
         left = work.cut(left.join(gone, ["key", "rid"], "left_anti"), "unlinked")
-        leaders *= 4
+        leaders = min(4 * leaders, 1000)
     edges = work.cut(edges, "edges-hot")
     comp = connected_components(edges, work)
     placed = members.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     placed = work.cut(placed, "placed")
-    x = placed.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"))
-    y = placed.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = placed.select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    y = placed.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    across = x.join(y, "key").where("ca < cb and nb <= ma and na <= mb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return work.cut(edges.unionByName(verified(across, reps, threshold, work)), "edges-all")
 
 

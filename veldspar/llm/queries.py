@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldspar.llm.batch_dedup import History
 from veldspar.llm.clusters import similarity_clusters
-from veldspar.llm.common import first_version
+from veldspar.llm.common import one_row_each
 from veldspar.llm.leaks import leaks
 from veldspar.llm.near_duplicates import group_pairs, near_duplicate_groups
 from veldspar.llm.packing import pack, token_counts
@@ -30,6 +30,12 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
     return g.select("id", F.hex("cls").alias("class_id"), "rep", "group_id")
 
 
+def p5_weighted(spark: SparkSession, root: str) -> DataFrame:
+    """The same over bags, with counts as weights, at the usual five words and 0.8."""
+    g = near_duplicate_groups(_records(spark, root), Workspace(spark, "p5"), multiset=True)
+    return g.select("id", F.hex("cls").alias("class_id"), "rep", "group_id")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     work = Workspace(spark, "p5")
     return group_pairs(near_duplicate_groups(_records(spark, root), work, threshold=0.5, shingle=3))
@@ -67,8 +73,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "corpus_docs")
-    docs = first_version(docs, "id", F.struct("text", "structure_type"), F.lit(0)).select("id", "value.text", "value.structure_type")
+    docs = one_row_each(table(spark, root, "corpus_docs"), "id", "text", "structure_type")
     return split_documents(docs, table(spark, root, "chunking_config"))
 
 
@@ -95,7 +100,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
-    return leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), Workspace(spark, "p8"))
+    return leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
@@ -110,7 +115,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_residue(spark, root).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks, p9_found, p9_residue)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p4_found, p5_found, p5_groups, p5_weighted, p6_found, p6_clusters, p7_found, p7_packing, p8_found, p8_leaks, p9_found, p9_residue)}
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 SQL: dict[str, str] = {
     "p2_found": r"""WITH c AS (SELECT lower(trim(structure_type)) AS kind, max_tokens FROM chunking_config), d AS (SELECT DISTINCT id, text, lower(trim(structure_type)) AS kind FROM corpus_docs WHERE text IS NOT NULL)

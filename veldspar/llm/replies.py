@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from veldspar.llm.common import one_row_each
 
 # Markers for a missing value, as words
 MISSING = frozenset("none null nil nan na n/a undefined empty blank missing void".split()) | {"no answer", "no response", "no reply", "not available", "not applicable", "no data", "(none)"}
@@ -348,5 +349,4 @@ def broken_replies(turns: DataFrame) -> DataFrame:
     neither ``copy`` nor ``language``.  Null ids are dropped; of several rows of a turn, the first by question and answer
     counts, so the result is the same in any order.
     """
-    one = turns.where("turn_id is not null").groupBy("turn_id").agg(F.min(F.struct("user_msg", "ai_msg")).alias("s")).select("turn_id", "s.user_msg", "s.ai_msg")
-    return one.mapInArrow(_classify, "turn_id bigint, defect string").where("defect is not null")
+    return one_row_each(turns, "turn_id", "user_msg", "ai_msg").mapInArrow(_classify, "turn_id bigint, defect string").where("defect is not null")

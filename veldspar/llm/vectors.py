@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import GOLDEN, mix
-from veldspar.llm.near_duplicates import keep_by
+from veldspar.llm.common import GOLDEN, keep_by, mix
 from veldspar.session import Workspace
 
 TABLES, CAP, SAMPLE = 7, 2048, 20_000
