@@ -141,7 +141,7 @@ class History:
         self.version, self.records, self.ordered = 0, 0, 0
         self.keys: list[list[dict]] = [[]]
         self.ids: list[list[dict]] = [[]]
-        self.sets: list[str] = []
+        self.sets = 0
         self.order: str | None = None
         self.common, self.levels = np.empty(0, np.uint64), np.empty(0, np.uint8)
         self.stale = False
@@ -200,20 +200,18 @@ class History:
         df = df.withColumn("range", F.shiftright(by[0], 63 - bits).cast("int"))
         df = df.coalesce(1) if rows <= self.range_rows else df.repartitionByRange(*by)
         df.sortWithinPartitions("range", *by).write.option("compression", "zstd").partitionBy("range").parquet(f"{self.root}/{name}")
-        return {"name": name, "rows": rows, "bits": bits}
+        fs, p = self._fs(name)
+        ranges = [int(x.getPath().getName()[6:]) for x in fs.listStatus(p) if x.getPath().getName().startswith("range=")]
+        return {"name": name, "rows": rows, "bits": bits, "ranges": sorted(ranges)}
 
-    def _ranges(self, levels: list[list[dict]], schema: str, wanted: set[int]) -> DataFrame | None:
+    def _ranges(self, levels: list[list[dict]], schema: str, wanted: set[int]) -> DataFrame:
         """The rows of the runs in the ranges that the leading bits in ``wanted`` fall into."""
-        out = None
+        paths = []
         for run in (r for level in levels for r in level):
-            hit = sorted({x >> (BITS - run["bits"]) for x in wanted})
-            if not hit:
-                continue
-            t = self.spark.read.schema(schema + ", range int").parquet(f"{self.root}/{run['name']}")
-            if len(hit) < 1 << run["bits"]:
-                t = t.where(F.col("range").isin(hit))
-            out = t.drop("range") if out is None else out.unionByName(t.drop("range"))
-        return out
+            hit = {x >> (BITS - run["bits"]) for x in wanted}
+            paths += [f"{self.root}/{run['name']}/range={x}" for x in run["ranges"] if x in hit]
+        reader = self.spark.read.schema(schema)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     @staticmethod
     def _leading(df: DataFrame, column: str) -> set[int]:
@@ -223,13 +221,14 @@ class History:
     def _few(self, df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= self.most_broadcast else df
 
-    def _set_rows(self, names: list[str]) -> DataFrame | None:
-        out = None
-        for i, name in enumerate(self.sets):
-            if name in names:
-                t = self.spark.read.schema(SETS + ", rid bigint, slab int").parquet(f"{self.root}/{name}").withColumn("d", F.lit(i))
-                out = t if out is None else out.unionByName(t)
-        return out
+    def _set_rows(self, parts: list[tuple[int, int]] | None = None) -> DataFrame:
+        """``(d, a, part, bag)`` of the deliveries' sets, all or those in the given parts ``(d, slab)``."""
+        if parts is None:
+            paths = [f"{self.root}/d={d}" for d in range(self.sets)]
+        else:
+            paths = [f"{self.root}/d={d}/slab={k}" for d, k in sorted(parts)]
+        rows = self.spark.read.option("basePath", self.root).schema(SETS + ", rid bigint, d int, slab int").parquet(*paths)
+        return rows.select("d", F.col("rid").alias("a"), "part", "bag")
 
     # the order of the shingles
 
@@ -253,15 +252,13 @@ class History:
         """Make the order anew from all accepted records, and write their keys as one run."""
         gone = [r["name"] for level in self.keys for r in level] + [self.order]
         pick = self._ranges(self.keys, "key bigint, n int, rem int, d int, rid bigint", set(range(1 << BITS))).select("d", "rid").distinct()
-        rows = self.work.cut(self._set_rows(self.sets).join(pick, ["d", "rid"], "left_semi").select("d", "rid", "part", "bag"), "accepted")
+        rows = self._set_rows().withColumnRenamed("a", "rid").join(pick, ["d", "rid"], "left_semi")
+        rows = self.work.cut(rows.select("d", "rid", "part", "bag", F.monotonically_increasing_id().alias("at")), "accepted")
         self._use(self._new_order(rows, self.records))
-        keyed = None
-        for i in range(len(self.sets)):
-            k = self._keyed(rows.where(F.col("d") == i)).withColumn("d", F.lit(i))
-            keyed = k if keyed is None else keyed.unionByName(k)
-        keyed = self.work.cut(keyed.select("key", "n", "rem", "d", "rid"), "keys")
-        self.keys = [[] for _ in self.keys] or [[]]
-        self.keys[-1].append(self._run(keyed, keyed.count(), "keys", ["key", "n"]))
+        keyed = self._keyed(rows.select(F.col("at").alias("rid"), "part", "bag")).withColumnRenamed("rid", "at").join(rows.select("at", "d", "rid"), "at")
+        keyed = self.work.cut(keyed.select("key", "n", "rem", "d", "rid"), "keys", True)
+        self.keys = [[] for _ in self.keys]
+        self.keys[-1].append(self._run(keyed, keyed.rows, "keys", ["key", "n"]))
         self.ordered, self.stale = self.records, False
         return gone
 
@@ -298,14 +295,15 @@ class History:
         """
         w = self.work
         source = new.where("id is not null").select("id", F.coalesce("part", F.lit("")).alias("part"), F.col("ord").cast("bigint").alias("ord"), "text")
-        name = self._name("sets")
+        name = f"d={self.sets}"
+        self._fs("")[0].delete(self._fs(name)[1], True)  # what a delivery that broke off has left
         hashed = source.mapInArrow(_sets(self.shingle, self.least_words), SETS).withColumn("rid", F.monotonically_increasing_id()).withColumn("slab", F.spark_partition_id())
         hashed.write.option("compression", "zstd").partitionBy("slab").parquet(f"{self.root}/{name}")
-        every = self.spark.read.schema(SETS + ", rid bigint, slab int").parquet(f"{self.root}/{name}")
+        every = self.spark.read.option("basePath", f"{self.root}/{name}").schema(SETS + ", rid bigint, slab int").parquet(f"{self.root}/{name}")
         once = every.groupBy("id").agg(F.min(F.struct("ord", "part", "cls", "rid", "slab")).alias("s")).select("id", "s.*")
         once = w.cut(once.withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 1)), "once", True)
         fresh, again = once, None
-        if once.rows and any(self.ids):
+        if any(self.ids):
             known = self._ranges(self.ids, "h bigint, id string, rejected boolean", self._leading(once, "h"))
             again = w.cut(known.join(self._few(once.select("h", "id"), once.rows), ["h", "id"]).select("id", "rejected"), "again", True)
             fresh = once.join(again.select("id"), "id", "left_anti") if again.rows else once
@@ -324,12 +322,12 @@ class History:
         verdict = verdict.select("h", "id", "rid", F.when(F.col("cls").isNotNull(), F.col("no").isNotNull() | F.col("head").isNull()).alias("rejected"))
         verdict = w.cut(verdict, "verdict")
         if once.rows:
-            self.sets.append(name)
+            self.sets += 1
             self.ids[0].append(self._run(verdict.select("h", "id", "rejected"), once.rows, "ids", ["h"]))
         else:
             old.append(name)
         if keyed.rows:
-            run = keyed.join(verdict.where("not rejected").select("rid"), "rid", "left_semi").select("key", "n", "rem", F.lit(len(self.sets) - 1).alias("d"), "rid")
+            run = keyed.join(verdict.where("not rejected").select("rid"), "rid", "left_semi").select("key", "n", "rem", F.lit(self.sets - 1).alias("d"), "rid")
             self.keys[0].append(self._run(run, keyed.rows, "keys", ["key", "n"]))
             self.records += heads.rows
         self._save(old + self._compact())
@@ -350,7 +348,7 @@ class History:
         The ranges of the history are streamed past the new keys, which are broadcast where their number allows it, so the history is not shuffled.
         """
         t = self.threshold
-        if not keyed.rows or not any(self.keys):
+        if not any(self.keys):
             return None
         runs = self._ranges(self.keys, "key bigint, n int, rem int, d int, rid bigint", self._leading(keyed, "key"))
         met = runs.join(self._few(keyed.select("key", F.col("n").alias("nb"), F.col("rem").alias("rb"), F.col("rid").alias("b")), keyed.rows), "key")
@@ -381,9 +379,9 @@ class History:
         # parts of tables that hold candidates, and whether a key was hot
         slabs = found.where("d >= 0 or hot").select("d", F.when(~F.col("hot"), F.shiftright("a", 33).cast("int")).alias("slab")).distinct().collect()
         sets = members.select(F.lit(-1).alias("d"), F.col("rid").alias("a"), "part", "bag")
-        for d in sorted({r["d"] for r in slabs if r["d"] >= 0}):
-            part = self._set_rows([self.sets[d]]).where(F.col("slab").isin([r["slab"] for r in slabs if r["d"] == d]))
-            sets = sets.unionByName(part.select("d", F.col("rid").alias("a"), "part", "bag"))
+        touched = [(r["d"], r["slab"]) for r in slabs if r["d"] >= 0]
+        if touched:
+            sets = sets.unionByName(self._set_rows(touched))
         links = self._similar(found.where("not hot").select("d", "a", "b").distinct(), sets, members.select(F.col("rid").alias("b"), "part", "bag"))
         links = w.cut(self._in_order(links, heads), "edges", True)
         if links.rows:

@@ -51,13 +51,18 @@ def _batches(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "robust_corpus").select(F.col("sample_id").alias("id"), part.alias("part"), F.col("batch_no").alias("ord"), "text")
 
 
-def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """Every batch is a delivery of its own, to the history that the one before has left in its folder; rows without a number come last."""
+def p4_found(spark: SparkSession, root: str, together: int = 3) -> DataFrame:
+    """The first load, and then ``together`` batches at a time, are deliveries to the history that the one before has left in its folder.
+
+    A delivery of several batches gives what they give one by one; rows without a number come last.
+    """
     path = Workspace(spark, "p4").path("history")
     rows, out = _batches(spark, root), None
     numbers = sorted((r["ord"] for r in rows.select("ord").distinct().collect()), key=lambda x: (x is None, x or 0))
-    for n in numbers:
-        rejected = History(spark, path, threshold=0.5, shingle=3).add(rows.where(F.col("ord").eqNullSafe(F.lit(n)))).where("rejected").select(F.col("id").alias("sample_id"))
+    none, numbers = numbers[-1:] == [None], [n for n in numbers if n is not None]
+    parts = [F.col("ord").isin(p) for p in [numbers[:1], *(numbers[i : i + together] for i in range(1, len(numbers), together))] if p]
+    for part in parts + [F.col("ord").isNull()] * none:
+        rejected = History(spark, path, threshold=0.5, shingle=3).add(rows.where(part)).where("rejected").select(F.col("id").alias("sample_id"))
         out = rejected if out is None else out.unionByName(rejected)
     return out.distinct() if out is not None else rows.select(F.col("id").alias("sample_id")).limit(0)
 
