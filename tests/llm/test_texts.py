@@ -149,12 +149,12 @@ def test_residue(spark):
     rows, bad = residue_rows()
     rows += [(1000, None, None, "c"), (1001, "", None, "c"), (1002, "lorem ipsum dolor sit amet " * 2000, None, "c"), rows[0]]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, kind string")
-    got = {r.doc_id for r in residue.residue(df, Workspace(spark, "t")).collect()}
+    got = {r.doc_id for r in residue.residue(df).collect()}
     bad = bad | {1002}
     assert len(got & bad) >= 0.95 * len(bad) and len(got - bad) <= 0.05 * len(bad)
     _, figures = residue.train(df)
     assert figures["accuracy"] > 0.95
-    assert residue.residue(df.limit(0), Workspace(spark, "t")).count() == 0
+    assert residue.residue(df.limit(0)).count() == 0
 
 
 def test_words():

@@ -113,7 +113,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_residue(spark: SparkSession, root: str) -> DataFrame:
-    return residue(table(spark, root, "documents"), Workspace(spark, "p9"))
+    return residue(table(spark, root, "documents"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

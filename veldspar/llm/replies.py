@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from veldspar.llm.common import one_row_each
 
+_re = cache(regex.compile)
+
 # Markers for a missing value, as words
 MISSING = frozenset("none null nil nan na n/a undefined empty blank missing void".split()) | {"no answer", "no response", "no reply", "not available", "not applicable", "no data", "(none)"}
 # Frequent words by language
@@ -84,14 +88,14 @@ def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     t = plain(answer)
-    if not regex.search(r"[\p{L}\p{N}]", t):
-        return not regex.search(r"[\p{Sc}\p{So}]", t)
+    if not _re(r"[\p{L}\p{N}]").search(t):
+        return not _re(r"[\p{Sc}\p{So}]").search(t)
     t = t.strip(" <>[](){}\"'`*_-–—.:;!|/\\")
     return t in MISSING
 
 
 def tokens(text: str) -> list[str]:
-    return [w for w in regex.findall(r"[\p{L}\p{N}]+", plain(text))]
+    return [w for w in _re(r"[\p{L}\p{N}]+").findall(plain(text))]
 
 
 def tiles(question: list[str], answer: list[str], least: int = 3) -> list[tuple[int, int, int]]:
@@ -158,7 +162,7 @@ def is_refusal(answer: str) -> bool:
         turn = TURN.search(core)
         if turn and len(turn[1].split()) >= 3 and not REFUSING.search(turn[1]):
             return False
-        if len(core.split()) > 32 or not REFUSING.search(core):
+        if not REFUSING.search(core):
             return False
         refused = True
     return refused
@@ -179,7 +183,7 @@ class Parser:
         self.markup: list[str] = []
         fence = False
         for line in text.split("\n"):
-            if regex.match(r"\s*(?:```|~~~)", line):
+            if _re(r"\s*(?:```|~~~)").match(line):
                 fence = not fence
                 if len(line.strip()) > 6 and line.strip().endswith("```"):
                     fence = not fence
@@ -196,7 +200,7 @@ class Parser:
                         continue
                     self.stack.append(c)
                 elif c in self.PAIRS:
-                    if c == ")" and regex.match(r"^\s*(?:\d{1,3}|[a-z])\)", line) and i < 6:
+                    if c == ")" and _re(r"^\s*(?:\d{1,3}|[a-z])\)").match(line) and i < 6:
                         continue
                     if self.PAIRS[c] in self.stack:
                         while self.stack.pop() != self.PAIRS[c]:
@@ -235,7 +239,7 @@ class Parser:
 
 def ends_open(line: str) -> bool:
     """Whether a line breaks off: a word that nothing ends with, an open mark, or an abbreviation."""
-    if regex.search(r"[,:;(\[{=+/\\&–—-]$", line):
+    if _re(r"[,:;(\[{=+/\\&–—-]$").search(line):
         return True
     words = WORD.findall(plain(line))
     return bool(words) and words[-1] in OPEN_WORDS
@@ -248,7 +252,7 @@ def is_truncated(answer: str) -> bool:
         return True
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1].strip()
-    if regex.match(r"(?:```|~~~)", last) or last.endswith("```"):
+    if _re(r"(?:```|~~~)").match(last) or last.endswith("```"):
         return False
     bare = TAIL_MARKS.sub("", last).rstrip()
     marked = bare != last
@@ -257,10 +261,10 @@ def is_truncated(answer: str) -> bool:
     if p.stack and p.stack[-1] in "([{“«\"" and not marked:
         return True
     if TERMINAL.search(bare):
-        word = regex.search(r"([\p{L}.]+)\.$", bare)
+        word = _re(r"([\p{L}.]+)\.$").search(bare)
         if word and word[1].lower().strip(".") in ABBREVIATIONS and not marked and len(bare.split()) > 3:
             return True
-        return bool(regex.search(r"(?:\.\.\.|…)$", bare)) and len(bare) > 30 and not marked
+        return bool(_re(r"(?:\.\.\.|…)$").search(bare)) and len(bare) > 30 and not marked
     entry = LIST_ENTRY.match(bare)
     if entry or len(lines) > 1 and LIST_ENTRY.match(lines[-2]):
         body = bare[entry.end() :] if entry else bare
@@ -273,7 +277,7 @@ def is_truncated(answer: str) -> bool:
             shared = frozenset.intersection(*(frozenset(WORD.findall(x.lower())) for x in others))
             mine = frozenset(WORD.findall(body.lower()))
             return bool(shared & OPEN_WORDS) and not shared & OPEN_WORDS & mine
-        return len(WORD.findall(body)) <= 1 and not regex.search(r"\d", body)
+        return len(WORD.findall(body)) <= 1 and not _re(r"\d").search(body)
     if marked:
         return False
     if ends_open(bare):
@@ -288,14 +292,14 @@ def is_truncated(answer: str) -> bool:
 
 def languages(text: str | None) -> dict[str, float]:
     """How much speaks for each language: the script, frequent words and special letters."""
-    letters = regex.findall(r"\p{L}", text or "")
+    letters = _re(r"\p{L}").findall(text or "")
     if not letters:
         return {}
     cyrillic = sum(1 for c in letters if "\u0400" <= c <= "\u04ff")
     if cyrillic * 2 > len(letters) or cyrillic >= 12 and cyrillic * 3 > len(letters):
         return {"ru": 9.0}
     low = text.lower()
-    words = regex.findall(r"\p{L}+", low)
+    words = _re(r"\p{L}+").findall(low)
     scores = {lang: float(sum(w in known for w in words)) for lang, known in WORDS_OF.items()}
     for marks, lang in (("ß", "de"), ("äöü", "de"), ("ñ¿¡", "es"), ("çœêûëï", "fr"), ("ìò", "it"), ("áíó", "es")):
         scores[lang] += 0.5 * sum(low.count(c) for c in marks)
@@ -312,12 +316,12 @@ def is_other_language(question: str | None, answer: str) -> bool:
     if not q or q[0][1] - (q[1][1] if len(q) > 1 else 0) < 1:
         return False
     asked = q[0][0]
-    own = regex.sub(r"(?s)```.*?(?:```|$)|“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"", " ", answer)  # neither code nor quotations
-    scores = languages(own if regex.search(r"\p{L}{2}", own) else answer)
+    own = _re(r"(?s)```.*?(?:```|$)|“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"").sub(" ", answer)  # neither code nor quotations
+    scores = languages(own if _re(r"\p{L}{2}").search(own) else answer)
     if not scores:
         return False
     given = max(scores, key=lambda lang: (scores[lang], lang == asked, lang))
-    named = {LANGUAGE_OF[w] for w in regex.findall(r"\p{L}+", (question or "").lower()) if w in LANGUAGE_OF}
+    named = {LANGUAGE_OF[w] for w in _re(r"\p{L}+").findall((question or "").lower()) if w in LANGUAGE_OF}
     return given != asked and scores[given] - scores.get(asked, 0.0) >= 2 and given not in named
 
 

@@ -1,8 +1,12 @@
-"""Template residue, filler and error pages, by a linear classifier on weakly labelled segments."""
+"""Template residue, filler and error pages, by a linear classifier of n-grams, lengths and titles.
+
+The expressions below label a bounded sample for training and are used nowhere else: what a document is, the classifier says from the hashes of its n-grams.
+"""
 
 from __future__ import annotations
 
 import html
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.session import Workspace
+from veldspar.llm.common import GOLDEN, mix
 
 CLASSES = ("content", "frame", "error", "notice", "filler", "placeholder")
 CONTENT, FRAME, ERROR, NOTICE, FILLER, PLACEHOLDER = range(6)
-SIZE = 1 << 15
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 20_000, 50_000
+SIZE = 1 << 17
+SAMPLE_DOCS, SAMPLE_SEGMENTS = 30_000, 60_000
 SAMPLE_CHARACTERS = 50_000
-PAGE_WORDS = 70
+SPAN, STEP = 14, 3  # tokens of a window, and from one window to the next
 
 # What fills a placeholder
 FIELD = r"(?:(?:first|last|full|family|given|middle|user)?[ _-]?(?:name|title|date|city|company|email|e-mail|phone|address|location|product|amount|price|author|signature|section|summary|reference|contact|text|content|description|topic|subject|recipient|customer|client|country|number|url|link|position|department|code|id|username|street|zip|state|day|month|year|time|body|headline|image|logo|keyword)s?)"
@@ -73,7 +77,6 @@ FRAMES = regex.compile(
 )
 SENTENCE = regex.compile(r"(?<=[.!?…])[\"”»)]*\s+(?=[\p{Lu}\p{N}\[<{($@%_\"“«])|\n+")
 TAGS = regex.compile(r"</?(?:div|p|br|b|i|em|strong|span|a|ul|ol|li|h[1-6]|table|tr|td|th|tbody|section|article|header|footer|nav|img|hr|pre|code|html|body|head|title|meta|script|style|blockquote)\b[^<>]*>", regex.I)
-WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)?|\p{N}+|[^\w\s]")
 
 
 def segments(text: str | None) -> list[tuple[str, bool]]:
@@ -121,10 +124,6 @@ def _spots(segment: str) -> list[tuple[str, tuple[int, int]]]:
     return [(name, m.span()) for name, pattern in SHAPES if (m := pattern.search(bare))]
 
 
-def shapes(segment: str) -> list[str]:
-    return [name for name, _ in _spots(segment)]
-
-
 def repeats(words: list[str]) -> bool:
     """Whether one or two words are all there is, again and again."""
     w = [x.lower() for x in words if x[0].isalpha()]
@@ -140,13 +139,13 @@ def latin_share(words: list[str]) -> float:
 
 
 def weak_label(segment: str, code: bool, page: bool) -> int | None:
-    """A label by phrases and status codes, or none; errors, notices and frames are labelled on short pages only."""
+    """A label by phrases and status codes, or none; errors, notices and frames are labelled where a page has little else."""
     low = segment.lower()
     n = len(segment.split())
     if code:
         return CONTENT
     about = bool(ABOUT.search(low)) and n > 5
-    found = shapes(segment)
+    found = [name for name, _ in _spots(segment)]
     if found and found != ["lorem"]:
         return CONTENT if about else PLACEHOLDER
     if found and not about:
@@ -158,69 +157,104 @@ def weak_label(segment: str, code: bool, page: bool) -> int | None:
         return FILLER
     if not page:
         return CONTENT
-    if n <= 30 and NOTICES.search(low):
+    if NOTICES.search(low):
         return NOTICE
-    if n <= 30 and ERRORS.search(low):
+    if ERRORS.search(low):
         return ERROR
     if FRAMES.match(low.strip()):
         return FRAME
     return CONTENT if n >= 7 else None
 
 
-def features(segment: str, first: bool, page: bool, code: bool) -> list[int]:
-    """Hashed words and pairs, the forms of placeholders, length, title and page marks."""
-    spots = _spots(segment)
-    marks = [f"=shape:{name}" for name, _ in spots]
-    near = segment
-    if spots:  # what a placeholder means shows in the words around it
-        if ABOUT.search(segment):
-            marks.append("=about")
-        lo, hi = min(m[0] for _, m in spots), max(m[1] for _, m in spots)
-        near = " ".join([*segment[:lo].split()[-6:], segment[lo:hi][:200], *segment[hi:].split()[:3]])
-    words = [("0" if w[0].isdigit() else w.lower().replace("’", "'")) for w in WORDS.findall(near)][:80]
-    if page and len(words) <= 40:
-        low = segment.lower().strip()
-        for name, hit in (("error", ERRORS.search(low)), ("notice", NOTICES.search(low)), ("frame", FRAMES.match(low))):
-            if hit:
-                marks.append(f"=phrase:{name}")
-    if len(words) <= 20 and FILLERS.match(segment.lower().strip()):
-        marks.append("=phrase:filler")
-    if repeats(words):
-        marks.append("=repeats")
-    n = len(words)
-    plain = [w for w in words if w.isalpha()]
-    out = [f"1{w}" for w in words]
-    out += [f"2{a} {b}" for a, b in zip(["^", *words], [*words, "$"])]
-    out += [m + x for m in marks for x in ("", "'", '"')] + [f"=n{min(n, 40) // 4}", f"=page{page}", "=bias", f"=latin{int(10 * latin_share(plain))}"]
-    if first:
-        out.append(f"=title{segment[-1:] in '.!?'}{n <= 12}")
-    if segment.isupper():
-        out.append("=upper")
-    if code:
-        out.append("=code")
-    return sorted({_bucket(x) for x in out})
+def mostly_messages(parts: list[tuple[str, bool]]) -> bool:
+    """Whether most words of a document stand in segments that speak of errors or scripts, or frame a page."""
+    all_, hit = 0, 0
+    for s, code in parts:
+        n, low = len(s.split()), s.lower()
+        all_ += n
+        if not code and (NOTICES.search(low) or ERRORS.search(low) or FRAMES.match(low.strip())):
+            hit += n
+    return 2 * hit > all_
+
+
+TOKEN = re.compile(r"\w+|[^\w\s]+")
+UPPER, LOWER, DIGIT = re.compile(r"[^\W\d_a-zß-ÿа-я]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+
+
+def shape(token: str) -> str:
+    """Letter case and punctuation of a token: ``__Name__`` has the shape ``__Aa__``."""
+    if len(token) > 3 and len(set(token.lower())) == 1:
+        return "=" + token[0].lower()
+    return DIGIT.sub("0", LOWER.sub("a", UPPER.sub("A", token)).replace("Aa", "A") if not token.islower() else LOWER.sub("a", token))
+
+
+class Grams:
+    """Buckets of a token's n-grams: the word, the word and one or two before, the last letters, and the same of shapes."""
+
+    COUNT = 8
+
+    def __init__(self):
+        self.seen: dict[str, tuple[int, int, int]] = {}
 
+    def __call__(self, tokens: list[str], starts: np.ndarray) -> np.ndarray:
+        """A row of buckets per token; ``starts`` are the places where a segment begins, before which nothing is looked at."""
+        seen, h = self.seen, xxhash.xxh3_64_intdigest
+        if len(seen) > 200_000:
+            seen.clear()
+        for t in set(tokens):
+            if t not in seen:
+                low = DIGIT.sub("0", t.lower().replace("’", "'"))
+                seen[t] = (h("w" + low), h("s" + shape(t)), h("e" + low[-2:]))
+        word, form, end = np.array([seen[t] for t in tokens], np.uint64).reshape(-1, 3).T
+        at = np.arange(len(tokens))
+        since = at - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
 
-def is_page(parts: list[tuple[str, bool]]) -> bool:
-    return sum(len(s.split()) for s, _ in parts) <= PAGE_WORDS
+        def before(x: np.ndarray, k: int) -> np.ndarray:
+            out = np.full(len(x), GOLDEN)
+            ok = since >= k
+            out[ok] = x[at[ok] - k]
+            return out
+
+        pair = lambda x, y, salt: mix(x * np.uint64(3) + mix(y ^ np.uint64(salt)))
+        w1, f1 = before(word, 1), before(form, 1)
+        f2 = before(form, 2)
+        again = np.uint64(xxhash.xxh3_64_intdigest("again"))
+        grams = [word, np.where(word == w1, again, pair(word, w1, 11)), pair(pair(word, w1, 12), before(word, 2), 13), end, form, pair(form, f1, 14), pair(pair(form, f1, 15), f2, 16), pair(form, w1, 17)]
+        return np.stack([(g % np.uint64(SIZE)).astype(np.int64) for g in grams], axis=1)
+
+
+def _bucket(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature) % SIZE
+
+
+def traits(parts: list[tuple[str, bool]], sizes: list[int], distinct: list[int], title: str | None) -> list[list[int]]:
+    """Buckets of what holds for a whole segment: lengths, how much of it repeats, code, place, and the words of the document's title."""
+    total = int(np.log2(sum(sizes) + 1))
+    named = [_bucket(f"=title {w}") for w in set(TOKEN.findall(title.lower()))] if title else []
+    out = []
+    for i, ((s, code), n, d) in enumerate(zip(parts, sizes, distinct)):
+        marks = ["=bias", f"=n{min(n, 64) // 4}", f"=log{int(np.log2(n + 1))}", f"=doc{total}", f"=parts{min(len(parts), 12)}", *[f"=distinct{int(8 * d / max(n, 1))}-{min(n, 16) // 8}-{k}" for k in range(3)]]
+        marks += [f"=first{s[-1:] in '.!?'}{n <= 12}"] * (i == 0) + ["=upper"] * s.isupper() + ["=code"] * code
+        out.append([_bucket(m) for m in marks] + named)
+    return out
 
 
 class Model:
-    """A softmax classifier with an L2 penalty, fitted by Adagrad."""
+    """A softmax classifier with an L2 penalty, fitted by Adagrad; ``least`` are the probabilities that a placeholder and a filler need."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: np.ndarray, least: tuple[float, float] = (0.5, 0.5)):
+        self.weights, self.least = weights, least
 
     @staticmethod
-    def fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 6, rate: float = 0.25, penalty: float = 1e-5, seed: int = 3) -> Model:
+    def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.25, penalty: float = 1e-5, seed: int = 3) -> Model:
         k = len(CLASSES)
         w, g2 = np.zeros((SIZE, k)), np.full((SIZE, k), 1e-3)
         if not len(rows):
             return Model(w.astype(np.float32))
         count = np.bincount(labels, minlength=k)
-        weight = np.clip(np.sqrt(len(labels) / (k * np.maximum(count, 1))), 0.5, 4)[labels]
+        weight = np.clip(np.sqrt(len(labels) / (k * np.maximum(count, 1))), 0.5, 8)[labels]
         lengths = np.array([len(r) for r in rows])
-        flat = np.fromiter((x for r in rows for x in r), np.int64, lengths.sum())
+        flat = np.concatenate(rows)
         starts = np.concatenate([[0], np.cumsum(lengths)])
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
@@ -235,55 +269,98 @@ class Model:
                 p = np.exp(score)
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(part)), labels[part]] -= 1
-                p *= (weight[part] / np.sqrt(n))[:, None]
+                p *= (weight[part] / np.sqrt(n))[:, None] / len(part)
                 used, inv = np.unique(idx, return_inverse=True)
-                grad = penalty * w[used]
-                np.add.at(grad, inv, np.repeat(p, n, axis=0) / len(part))
+                each = np.repeat(p, n, axis=0)
+                grad = penalty * w[used] + np.stack([np.bincount(inv, each[:, c], len(used)) for c in range(k)], axis=1)
                 g2[used] += grad * grad
                 w[used] -= rate * grad / np.sqrt(g2[used])
         return Model(w.astype(np.float32))
 
-    def predict(self, rows: list[list[int]]) -> np.ndarray:
-        """The likeliest classes; a placeholder or filler in a segment without the form of one must be near certain."""
-        if not rows:
+    def scores(self, docs: list[Document]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the classes of each segment as a whole, and the greatest one of a placeholder in any of its windows."""
+        grams = np.concatenate([d.grams for d in docs]) if docs else np.empty((0, Grams.COUNT), np.int64)
+        ends = np.cumsum([n for d in docs for n in d.sizes])
+        begins = ends - np.array([n for d in docs for n in d.sizes])
+        own = [t for d in docs for t in d.traits]
+        if not own:
+            return np.empty((0, len(CLASSES))), np.empty(0)
+        lengths = np.array([len(t) for t in own])
+        base = np.add.reduceat(self.weights[np.concatenate(own)], np.cumsum(lengths) - lengths, axis=0)
+        sums = np.zeros((len(grams) + 1, len(CLASSES)))
+        np.cumsum(self.weights[grams].sum(axis=1), axis=0, out=sums[1:])
+        whole = _softmax((base + sums[ends] - sums[begins]) / np.sqrt(lengths + Grams.COUNT * (ends - begins))[:, None])
+        # windows: every STEP tokens, the last one at the end of the segment
+        many = np.maximum(1, -(-(ends - begins - SPAN) // STEP) + 1)
+        seg = np.repeat(np.arange(len(ends)), many)
+        at = np.arange(len(seg)) - np.repeat(np.cumsum(many) - many, many)
+        lo = np.maximum(np.minimum(begins[seg] + at * STEP, ends[seg] - SPAN), begins[seg])
+        hi = np.minimum(lo + SPAN, ends[seg])
+        window = _softmax((base[seg] + sums[hi] - sums[lo]) / np.sqrt(lengths[seg] + Grams.COUNT * (hi - lo))[:, None])
+        return whole, np.maximum.reduceat(window[:, PLACEHOLDER], np.cumsum(many) - many)
+
+    def kinds(self, docs: list[Document]) -> np.ndarray:
+        """The class of each segment: a placeholder or filler if it reaches its least probability, else the likeliest of the others."""
+        whole, spot = self.scores(docs)
+        if not len(whole):
             return np.empty(0, np.int64)
-        lengths = np.array([len(r) for r in rows])
-        flat = np.fromiter((x for r in rows for x in r), np.int64, lengths.sum())
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        score = np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(lengths)[:, None]
-        p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        has = lambda marks: np.maximum.reduceat(np.isin(flat, marks), starts)
-        need = np.where(has(ABOUT_MARK), 0.9, np.where(has(FORM_MARKS), 0.3, 0.97))
-        for k in (PLACEHOLDER, FILLER):
-            p[:, k] = np.where(p[:, k] >= need, 1.0 + p[:, k], 0.0)
-        return p.argmax(axis=1)
+        out = whole[:, :FILLER].argmax(axis=1)
+        out[(whole[:, FILLER] >= self.least[1]) & (whole[:, FILLER] >= whole[:, :FILLER].max(axis=1))] = FILLER
+        out[np.maximum(spot, whole[:, PLACEHOLDER]) >= self.least[0]] = PLACEHOLDER
+        return out
 
 
-def _bucket(feature: str) -> int:
-    return xxhash.xxh32_intdigest(feature) & (SIZE - 1)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+class Document:
+    """A text's segments with their buckets."""
 
+    def __init__(self, text: str | None, title: str | None, grams: Grams):
+        self.parts = segments(text)
+        tokens = [TOKEN.findall(s) for s, _ in self.parts]
+        self.tokens = tokens
+        self.sizes = [len(t) for t in tokens]
+        flat = [t for ts in tokens for t in ts]
+        starts = np.cumsum([0, *self.sizes])[:-1]
+        self.grams = grams(flat, starts[np.array(self.sizes) > 0] if self.sizes else starts) if flat else np.empty((0, Grams.COUNT), np.int64)
+        self.traits = traits(self.parts, self.sizes, [len(set(t)) for t in tokens], title)
 
-ABOUT_MARK = np.array([_bucket("=about")])
-FORM_MARKS = np.array([_bucket(f"=shape:{name}") for name, _ in SHAPES] + [_bucket("=phrase:filler"), _bucket("=repeats")] + [_bucket(f"=latin{k}") for k in (9, 10)])
 
+def training_rows(docs: list[tuple], grams: Grams, most: int = SAMPLE_SEGMENTS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets and weak labels of ``(id, text, title)``: all segments that are not content, and content up to the bound.
 
-def training_rows(docs: list[tuple[int, str | None]], most: int = SAMPLE_SEGMENTS) -> tuple[list[list[int]], np.ndarray]:
-    """Features and weak labels of the documents' segments: all that are not content, and content up to the bound."""
+    A segment with the form of a placeholder gives the window around it as well, and other content a window at a place by its hash.
+    """
     rare, common = [], []
-    for key, text in docs:
-        parts = segments(text)
-        page = is_page(parts)
-        for i, (s, code) in enumerate(parts):
+    for key, text, title in docs:
+        d = Document(text, title, grams)
+        page = mostly_messages(d.parts)
+        end = 0
+        for i, (s, code) in enumerate(d.parts):
+            start, end = end, end + d.sizes[i]
             label = weak_label(s, code, page)
             if label is None:
                 continue
-            if label == CONTENT and not shapes(s) and xxhash.xxh32_intdigest(f"{key}-{i}") % 4:
+            spots = _spots(s)
+            turn = xxhash.xxh64_intdigest(f"{key} {i}")
+            if label == CONTENT and not spots and turn % 2:
                 continue
-            (common if label == CONTENT else rare).append((xxhash.xxh64_intdigest(f"{key} {i}"), s, i == 0, page, code, label))
-    rare, common = sorted(rare)[: most // 2], sorted(common)[: most // 2]
-    chosen = sorted(rare + common)
-    return [features(s, f, p, c) for _, s, f, p, c, _ in chosen], np.array([x[5] for x in chosen], np.int64)
+            own = np.array(d.traits[i])
+            spans = [(start, end)]
+            if d.sizes[i] > SPAN:
+                place = [len(TOKEN.findall(s[: m[0]])) for _, m in spots] or [turn // 2 % (d.sizes[i] - SPAN + 1) + 5]
+                # a text about a placeholder is content in whatever window it is seen, one with a placeholder in those that show what is before it
+                offsets = range(0, SPAN - 1, STEP) if label == CONTENT else range(4, 9, 2)
+                los = {max(0, min(x - o, d.sizes[i] - SPAN)) for x in place for o in offsets}
+                spans += [(start + lo, start + lo + SPAN) for lo in sorted(los)]
+            for k, (lo, hi) in enumerate(spans):
+                (common if label == CONTENT and not spots else rare).append((turn, k, np.concatenate([own, d.grams[lo:hi].reshape(-1)]), label))
+    rare = sorted(rare, key=lambda r: r[:2])[: most // 2]
+    common = sorted(common, key=lambda r: r[:2])[: min(most // 2, max(4000, 12 * len(rare)))]
+    return [r[2] for r in rare + common], np.array([r[3] for r in rare + common], np.int64)
 
 
 def verdict(parts: list[tuple[str, bool]], kinds: np.ndarray) -> str | None:
@@ -296,7 +373,7 @@ def verdict(parts: list[tuple[str, bool]], kinds: np.ndarray) -> str | None:
     if (kinds == FILLER).any():
         return "filler"
     bad = (kinds == ERROR) | (kinds == NOTICE)
-    if not bad.any() or not is_page(parts):
+    if not bad.any():
         return None
     content = kinds == CONTENT
     title = int(np.argmax(content)) if content.any() else -1
@@ -309,49 +386,71 @@ def verdict(parts: list[tuple[str, bool]], kinds: np.ndarray) -> str | None:
 
 def _apply(model: Model):
     def run(batches):
+        grams = Grams()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                docs = [segments(t) for t in part.column(1).to_pylist()]
-                rows = []
-                for d in docs:
-                    page = is_page(d)
-                    rows += [features(s, i == 0, page, code) for i, (s, code) in enumerate(d)]
-                kinds = model.predict(rows)
-                ends = np.cumsum([len(d) for d in docs])
-                kind = [verdict(d, kinds[e - len(d) : e]) for d, e in zip(docs, ends.tolist())]
+                docs = [Document(t, title, grams) for t, title in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                kinds = model.kinds(docs)
+                ends = np.cumsum([len(d.parts) for d in docs])
+                kind = [verdict(d.parts, kinds[e - len(d.parts) : e]) for d, e in zip(docs, ends.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kind, pa.string())], names=["doc_id", "kind"])
 
     return run
 
 
+def _least(scores: np.ndarray, true: np.ndarray) -> float:
+    """The probability at which a class is told best, by its F1; half where there is nothing to learn it from."""
+    if not true.any() or true.all():
+        return 0.5
+    tried = np.round(np.arange(0.3, 0.96, 0.05), 2)
+    f1 = [2 * (true & (scores >= t)).sum() / max(1, true.sum() + (scores >= t).sum()) for t in tried]
+    return float(tried[np.array(f1) >= max(f1) - 0.01].max())
+
+
 def train(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> tuple[Model, dict[str, float]]:
-    """The model, fitted on at most ``most_docs`` documents, and its agreement with the weak labels on unseen hosts.
+    """The model, fitted on about ``most_docs`` documents, and its agreement with the weak labels on unseen hosts.
 
-    The sample are the documents of the least hashes, those of at most 50,000 characters, so that its size in bytes is bounded too; a quarter of the sources, by hash, is held out for the figures, and
-    the model is then fitted on all of it.
+    The sample are the documents below a threshold of their hash, those of at most 50,000 characters, so that its size in bytes is bounded too.  A quarter of the
+    sources, by hash, is held out; on it the least probabilities of placeholders and fillers are chosen and the figures measured.  The model is then fitted on all of it.
     """
-    drawn = docs.select("doc_id", "text", "source").where(F.length("text") <= SAMPLE_CHARACTERS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).toArrow()
-    rows = list(zip(*(drawn.column(c).to_pylist() for c in ("doc_id", "text", "source"))))
-    unseen = [xxhash.xxh32_intdigest(str(r[2])) % 4 == 0 for r in rows]
-    x, y = training_rows([r[:2] for r, u in zip(rows, unseen) if not u])
-    hx, hy = training_rows([r[:2] for r, u in zip(rows, unseen) if u])
-    held = Model.fit(x, y).predict(hx)
-    figures = {"accuracy": float((held == hy).mean()) if len(hy) else 1.0, "segments": float(len(hy))}
+    title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string")
+    n = docs.count()
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, most_docs / max(n, 1))))
+    drawn = docs.where(below & (F.length("text") <= SAMPLE_CHARACTERS)).select("doc_id", "text", title.alias("title"), "source").toArrow()
+    rows = sorted(zip(*(drawn.column(c).to_pylist() for c in ("doc_id", "text", "title", "source"))), key=lambda r: str(r[0]))
+    unseen = [xxhash.xxh32_intdigest(str(r[3])) % 4 == 0 for r in rows]
+    grams = Grams()
+    x, y = training_rows([r[:3] for r, u in zip(rows, unseen) if not u], grams)
+    model = Model.fit(x, y)
+    held = [Document(r[1], r[2], grams) for r, u in zip(rows, unseen) if u]
+    labels = []
+    for d in held:
+        page = mostly_messages(d.parts)
+        labels += [weak_label(s, code, page) for s, code in d.parts]
+    known = np.array([x is not None for x in labels], bool)
+    true = np.array([-1 if x is None else x for x in labels])
+    whole, spot = model.scores(held)
+    if known.any():
+        model.least = (_least(np.maximum(spot, whole[:, PLACEHOLDER])[known], true[known] == PLACEHOLDER), _least(whole[known, FILLER], true[known] == FILLER))
+    told = model.kinds(held)
+    figures = {"accuracy": float((told == true)[known].mean()) if known.any() else 1.0, "segments": float(known.sum()), "placeholder_least": model.least[0], "filler_least": model.least[1]}
     for k, name in enumerate(CLASSES):
-        hit = ((held == k) & (hy == k)).sum()
-        figures[f"{name}_f1"] = float(2 * hit / max(1, (held == k).sum() + (hy == k).sum()))
-    return Model.fit(x + hx, np.concatenate([y, hy])), figures
+        hit = ((told == k) & (true == k))[known].sum()
+        figures[f"{name}_f1"] = float(2 * hit / max(1, (told == k)[known].sum() + (true == k)[known].sum()))
+    hx, hy = training_rows([r[:3] for r, u in zip(rows, unseen) if u], grams)
+    return Model(Model.fit(x + hx, np.concatenate([y, hy])).weights, model.least), figures
 
 
-def residue(docs: DataFrame, work: Workspace, most_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``(doc_id, kind)`` of the documents ``(doc_id, text, source)`` that hold residue: placeholder, filler, error or notice.
+def residue(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """``(doc_id, kind)`` of the documents ``(doc_id, text, source[, title])`` that hold residue: placeholder, filler, error or notice.
 
     Segments (lines and sentences) of every whole text are classified by a model trained on weak labels of a bounded sample
-    (see ``train``).  A document is residue if a segment is a placeholder or filler, or if, apart from a title and a page
+    (see ``train``), whatever their length and that of the document.  A document is residue if a segment is a filler or has a window with a placeholder, or if, apart from a title and a page
     frame, it has only error messages or script notices.  Code is content.  Null and blank texts have no row; null sources
     are one host.
     """
     model, _ = train(docs, most_docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_apply(model), f"doc_id {kind}, kind string").where("kind is not null").distinct()
+    title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", "text", title.alias("title")).mapInArrow(_apply(model), f"doc_id {kind}, kind string").where("kind is not null").distinct()
