@@ -16,6 +16,7 @@ from veldspar.session import Workspace
 
 SETS = "id string, part string, ord bigint, cls binary, bag array<bigint>"
 KEYED = "key bigint, n int, rem int, rid bigint"
+COUNTERS = 1 << 20  # of shingle frequencies
 BITS = 12  # ranges of keys are told apart by so many leading bits at most
 
 
@@ -34,7 +35,7 @@ def _sets(shingle: int, least: int):
     return run
 
 
-def _keys(threshold: float, common: np.ndarray, levels: np.ndarray):
+def _keys(threshold: float, levels: np.ndarray):
     """Sort keys of ``(rid, part, bag)``: the rarest shingles, as many as two sets of the threshold must share one of.
 
     Shingles are ordered by the level of their frequency, and within by a hash, which is one order for all records.  ``n`` is the size of the set and
@@ -47,11 +48,7 @@ def _keys(threshold: float, common: np.ndarray, levels: np.ndarray):
             n = np.asarray(bag.value_lengths().fill_null(0)).astype(np.int64)
             values = np.asarray(bag.flatten()).view(np.uint64)
             doc = np.repeat(np.arange(len(rid)), n)
-            level = np.zeros(len(values), np.uint8)
-            if len(common) and len(values):
-                at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                level = np.where(common[at] == values, levels[at], 0)
-            order = np.lexsort((mix(values), level, doc))
+            order = np.lexsort((mix(values), levels[values & np.uint64(COUNTERS - 1)], doc))
             place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
             take = place < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
             part = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in b.column(1).to_pylist()), np.uint64, len(rid))
@@ -143,7 +140,7 @@ class History:
         self.ids: list[list[dict]] = [[]]
         self.sets = 0
         self.order: str | None = None
-        self.common, self.levels = np.empty(0, np.uint64), np.empty(0, np.uint8)
+        self.levels = np.zeros(COUNTERS, np.uint8)
         self.stale = False
         if path is not None:
             self._load()
@@ -233,20 +230,21 @@ class History:
     # the order of the shingles
 
     def _use(self, name: str) -> None:
-        rows = self.spark.read.schema("h bigint, level int").parquet(f"{self.root}/{name}").toArrow()
-        h = np.asarray(rows.column("h").combine_chunks()).view(np.uint64) if rows.num_rows else np.empty(0, np.uint64)
-        at = np.argsort(h)
-        self.order, self.common, self.levels = name, h[at], (np.asarray(rows.column("level").combine_chunks())[at] if rows.num_rows else np.empty(0)).astype(np.uint8)
-
-    def _new_order(self, bags: DataFrame, records: int) -> str:
-        """Levels of the shingles that at least a thousandth of the records hold: at most a thousand times the mean size of a set."""
-        each = bags.select(F.explode("bag").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+        rows = self.spark.read.schema("counter int, level int").parquet(f"{self.root}/{name}").toArrow()
+        self.order, self.levels = name, np.zeros(COUNTERS, np.uint8)
+        if rows.num_rows:
+            self.levels[np.asarray(rows.column("counter").combine_chunks())] = np.asarray(rows.column("level").combine_chunks())
+
+    def _new_order(self, bags: DataFrame) -> str:
+        """Levels of frequency, the logarithms of a million counters that all shingles share by their hash: a frequent shingle is never taken for a rare one."""
+        counter = F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("counter")
+        each = bags.select(F.explode("bag").alias("h")).groupBy(counter).agg(F.count(F.lit(1)).alias("n"))
         name = self._name("order")
-        each.where(F.col("df") >= max(8, records // 1000)).select("h", F.floor(F.log2("df")).cast("int").alias("level")).coalesce(1).write.parquet(f"{self.root}/{name}")
+        each.where("n > 1").select("counter", F.floor(F.log2("n")).cast("int").alias("level")).write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return name
 
     def _keyed(self, rows: DataFrame) -> DataFrame:
-        return rows.select("rid", "part", "bag").mapInArrow(_keys(self.threshold, self.common, self.levels), KEYED)
+        return rows.select("rid", "part", "bag").mapInArrow(_keys(self.threshold, self.levels), KEYED)
 
     def _reorder(self) -> list[str]:
         """Make the order anew from all accepted records, and write their keys as one run."""
@@ -254,7 +252,7 @@ class History:
         pick = self._ranges(self.keys, "key bigint, n int, rem int, d int, rid bigint", set(range(1 << BITS))).select("d", "rid").distinct()
         rows = self._set_rows().withColumnRenamed("a", "rid").join(pick, ["d", "rid"], "left_semi")
         rows = self.work.cut(rows.select("d", "rid", "part", "bag", F.monotonically_increasing_id().alias("at")), "accepted")
-        self._use(self._new_order(rows, self.records))
+        self._use(self._new_order(rows))
         keyed = self._keyed(rows.select(F.col("at").alias("rid"), "part", "bag")).withColumnRenamed("rid", "at").join(rows.select("at", "d", "rid"), "at")
         keyed = self.work.cut(keyed.select("key", "n", "rem", "d", "rid"), "keys", True)
         self.keys = [[] for _ in self.keys]
@@ -312,7 +310,7 @@ class History:
         members = every.join(heads.select("rid"), "rid", "left_semi").select("rid", "part", "bag")
         old = []
         if self.order is None and heads.rows:
-            self._use(self._new_order(members, heads.rows))
+            self._use(self._new_order(members))
             self.ordered = heads.rows
         elif self.stale or self.records > 8 * max(self.ordered, 1000):
             old = self._reorder()
