@@ -20,7 +20,7 @@ from veldspar.llm.common import GOLDEN, mix
 CLASSES = ("content", "frame", "error", "notice", "filler", "placeholder")
 CONTENT, FRAME, ERROR, NOTICE, FILLER, PLACEHOLDER = range(6)
 SIZE = 1 << 17
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 30_000, 60_000
+SAMPLE_DOCS, SAMPLE_SEGMENTS = 20_000, 40_000
 SAMPLE_CHARACTERS = 50_000
 SPAN, STEP = 14, 3  # tokens of a window, and from one window to the next
 
@@ -220,7 +220,7 @@ class Grams:
         f2 = before(form, 2)
         again = np.uint64(xxhash.xxh3_64_intdigest("again"))
         grams = [word, np.where(word == w1, again, pair(word, w1, 11)), pair(pair(word, w1, 12), before(word, 2), 13), end, form, pair(form, f1, 14), pair(pair(form, f1, 15), f2, 16), pair(form, w1, 17)]
-        return np.stack([(g % np.uint64(SIZE)).astype(np.int64) for g in grams], axis=1)
+        return np.stack([(g % np.uint64(SIZE)).astype(np.int32) for g in grams], axis=1)
 
 
 def _bucket(feature: str) -> int:
@@ -279,7 +279,7 @@ class Model:
 
     def scores(self, docs: list[Document]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the classes of each segment as a whole, and the greatest one of a placeholder in any of its windows."""
-        grams = np.concatenate([d.grams for d in docs]) if docs else np.empty((0, Grams.COUNT), np.int64)
+        grams = np.concatenate([d.grams for d in docs]) if docs else np.empty((0, Grams.COUNT), np.int32)
         ends = np.cumsum([n for d in docs for n in d.sizes])
         begins = ends - np.array([n for d in docs for n in d.sizes])
         own = [t for d in docs for t in d.traits]
@@ -301,7 +301,9 @@ class Model:
 
     def kinds(self, docs: list[Document]) -> np.ndarray:
         """The class of each segment: a placeholder or filler if it reaches its least probability, else the likeliest of the others."""
-        whole, spot = self.scores(docs)
+        return self.told(*self.scores(docs))
+
+    def told(self, whole: np.ndarray, spot: np.ndarray) -> np.ndarray:
         if not len(whole):
             return np.empty(0, np.int64)
         out = whole[:, :FILLER].argmax(axis=1)
@@ -325,7 +327,7 @@ class Document:
         self.sizes = [len(t) for t in tokens]
         flat = [t for ts in tokens for t in ts]
         starts = np.cumsum([0, *self.sizes])[:-1]
-        self.grams = grams(flat, starts[np.array(self.sizes) > 0] if self.sizes else starts) if flat else np.empty((0, Grams.COUNT), np.int64)
+        self.grams = grams(flat, starts[np.array(self.sizes) > 0] if self.sizes else starts) if flat else np.empty((0, Grams.COUNT), np.int32)
         self.traits = traits(self.parts, self.sizes, [len(set(t)) for t in tokens], title)
 
 
@@ -335,6 +337,7 @@ def training_rows(docs: list[tuple], grams: Grams, most: int = SAMPLE_SEGMENTS)
     A segment with the form of a placeholder gives the window around it as well, and other content a window at a place by its hash.
     """
     rare, common = [], []
+    every = max(2, 16 * len(docs) // most)  # of the segments that are plainly content, one in so many
     for key, text, title in docs:
         d = Document(text, title, grams)
         page = mostly_messages(d.parts)
@@ -346,12 +349,12 @@ def training_rows(docs: list[tuple], grams: Grams, most: int = SAMPLE_SEGMENTS)
                 continue
             spots = _spots(s)
             turn = xxhash.xxh64_intdigest(f"{key} {i}")
-            if label == CONTENT and not spots and turn % 2:
+            if label == CONTENT and not spots and turn % every:
                 continue
-            own = np.array(d.traits[i])
+            own = np.array(d.traits[i], np.int32)
             spans = [(start, end)]
             if d.sizes[i] > SPAN:
-                place = [len(TOKEN.findall(s[: m[0]])) for _, m in spots] or [turn // 2 % (d.sizes[i] - SPAN + 1) + 5]
+                place = [len(TOKEN.findall(s[: m[0]])) for _, m in spots] or [turn // every % (d.sizes[i] - SPAN + 1) + 5]
                 # a text about a placeholder is content in whatever window it is seen, one with a placeholder in those that show what is before it
                 offsets = range(0, SPAN - 1, STEP) if label == CONTENT else range(4, 9, 2)
                 los = {max(0, min(x - o, d.sizes[i] - SPAN)) for x in place for o in offsets}
@@ -423,17 +426,22 @@ def train(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> tuple[Model, dict[st
     grams = Grams()
     x, y = training_rows([r[:3] for r, u in zip(rows, unseen) if not u], grams)
     model = Model.fit(x, y)
-    held = [Document(r[1], r[2], grams) for r, u in zip(rows, unseen) if u]
-    labels = []
-    for d in held:
-        page = mostly_messages(d.parts)
-        labels += [weak_label(s, code, page) for s, code in d.parts]
+    held = [r for r, u in zip(rows, unseen) if u]
+    labels, whole, spot = [], [np.empty((0, len(CLASSES)))], [np.empty(0)]
+    for at in range(0, len(held), 500):
+        part = [Document(r[1], r[2], grams) for r in held[at : at + 500]]
+        for d in part:
+            page = mostly_messages(d.parts)
+            labels += [weak_label(s, code, page) for s, code in d.parts]
+        w, p = model.scores(part)
+        whole.append(w)
+        spot.append(p)
+    whole, spot = np.concatenate(whole), np.concatenate(spot)
     known = np.array([x is not None for x in labels], bool)
     true = np.array([-1 if x is None else x for x in labels])
-    whole, spot = model.scores(held)
     if known.any():
         model.least = (_least(np.maximum(spot, whole[:, PLACEHOLDER])[known], true[known] == PLACEHOLDER), _least(whole[known, FILLER], true[known] == FILLER))
-    told = model.kinds(held)
+    told = model.told(whole, spot)
     figures = {"accuracy": float((told == true)[known].mean()) if known.any() else 1.0, "segments": float(known.sum()), "placeholder_least": model.least[0], "filler_least": model.least[1]}
     for k, name in enumerate(CLASSES):
         hit = ((told == k) & (true == k))[known].sum()
