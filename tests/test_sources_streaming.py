@@ -28,6 +28,7 @@ def test_files(spark, tmp_path):
     assert sorted((r.document_id, r.text) for r in read("d.json", id_field="id")) == [("7", "r1"), ("d-1", "r2")]
     assert [r.text for r in read("e.weird")] == ["café"]
     assert readers.whole_files(spark, str(tmp_path), "*.txt").count() == 1
+    assert readers.folder(spark, str(tmp_path)).count() == 6
 
 
 def test_round_trips(spark, tmp_path):
@@ -35,7 +36,11 @@ def test_round_trips(spark, tmp_path):
     writers.save_store(df, str(tmp_path / "store"))
     assert writers.load_store(spark, str(tmp_path / "store")).collect() == df.collect()
     writers.save_store(df, str(tmp_path / "store"))
-    assert spark.read.parquet(str(tmp_path / "store/postings")).count() == 2
+    assert writers.load_index(spark, str(tmp_path / "store")).rows.count() == 2
+    import shutil
+
+    shutil.rmtree(tmp_path / "store/index")
+    assert writers.load_index(spark, str(tmp_path / "store")).rows.count() == 2  # made anew from the chunks
     docs = spark.createDataFrame([(2, "B", "two"), (1, None, "one")], "n int, title string, text string")
     writers.to_markdown(docs, str(tmp_path / "md"), "n", "All")
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "md"), wholetext=True).collect())
@@ -54,6 +59,17 @@ def test_cache(spark, tmp_path):
     hit, miss = writers.cached(spark, path, texts, "1", 3600)
     assert [(r.k, r.result) for r in hit.collect()] == [(1, "done")] and [r.k for r in miss.collect()] == [2]
     assert writers.cached(spark, path, texts, "2")[0].count() == 0
+    writers.store_results(texts.where("k = 2").select("text", F.lit("more").alias("result")), path, "1")
+    assert tuple(writers.cache_stats(spark, path).first()) == (2, 8)
+    writers.invalidate(spark, path, texts.where("k = 1"))
+    assert [r.k for r in writers.cached(spark, path, texts, "1")[0].collect()] == [2]
+    writers.evict(spark, path, 1)
+    assert writers.cache_stats(spark, path).first().entries == 1
+    writers.clear(spark, path)
+    assert writers.cache_stats(spark, path).first().entries == 0
+    writers.append_turns(texts, str(tmp_path / "chat"))
+    writers.append_turns(texts, str(tmp_path / "chat"))
+    assert spark.read.parquet(str(tmp_path / "chat")).where("ts is not null").count() == 4
 
 
 def stream(spark, path, schema):

@@ -29,39 +29,60 @@ def measure(spark, root, name, f):
     return docs(spark, root).where("text is not null").select("doc_id", F.length(f(F.col("text"))).cast("bigint").alias("n"), F.md5(f(F.col("text"))).alias(name))
 
 
-HTML = sql_chain("text", (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), (r"(?i)<br\s*/?>", "' || chr(10) || '"), (r"(?i)</(p|div|li|h[1-6]|tr|section|article|blockquote|ul|ol|table)>", "' || chr(10) || '"), (r"<[^>]+>", " "))
-for _entity, _by in X.ENTITIES:
-    HTML = f"replace({HTML}, '{_entity}', '{_by}')" if _by != "'" else f"replace({HTML}, '{_entity}', '''')"
+# the entities that occur in the data, since SQL has no function for all of them
+ENTITIES = (("&nbsp;", chr(160)), ("&quot;", '"'), ("&#39;", "''"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&eacute;", "é"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
-@query(measured("cleaned", HTML.replace("', '' || chr(10) || '', 'g')", "', chr(10), 'g')")))
+def sql_steps(x: str, steps) -> str:
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, '{pattern}', " + {"\n": "chr(10)"}.get(by, f"'{by}'") + ", 'g')"
+    return x
+
+
+def sql_entities(x: str) -> str:
+    for entity, by in ENTITIES:
+        x = f"replace({x}, '{entity}', '{by}')"
+    return x
+
+
+@query(measured("cleaned", sql_entities(sql_steps("text", X.HTML_STEPS))))
 def html_strip(spark, root):
     return measure(spark, root, "cleaned", X.strip_html)
 
 
-@query(measured("cleaned", sql_chain("text", (r"(?m)^[ \t]*[\[(]?\d{1,2}:\d{2}(:\d{2})?([ ]?[AaPp][Mm])?[\])]?[ \t]*[-–]?[ \t]*", ""), (r"[\[(]\d{1,2}:\d{2}(:\d{2})?([ ]?[AaPp][Mm])?[\])]", ""), (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?Z?", ""))))
+@query(measured("cleaned", sql_steps("text", X.TIMESTAMP_STEPS)))
 def timestamp_strip(spark, root):
     return measure(spark, root, "cleaned", X.strip_timestamps)
 
 
-@query(measured("cleaned", sql_chain("text", (r"(?im)^[ \t]*(page[ ]+\d+([ ]+of[ ]+\d+)?|-[ ]*\d+[ ]*-|\d+[ ]*/[ ]*\d+)[ \t]*$", ""))))
+@query(measured("cleaned", sql_steps("text", X.PAGE_STEPS)))
 def page_mark_strip(spark, root):
     return measure(spark, root, "cleaned", X.strip_page_marks)
 
 
-@query(measured("cleaned", sql_chain("text", (r"([A-Za-z]{2,})-[ \t]*\n[ \t]*([A-Za-z]{2,})", r"\1\2"))))
+@query(measured("cleaned", sql_steps("text", ((r"([a-zA-Z]{2,})-\n\s*([a-zA-Z]{2,})", r"\1\2"),))))
 def hyphen_join(spark, root):
     return measure(spark, root, "cleaned", X.join_hyphens)
 
 
-SPACE = "trim(" + sql_chain("text", (r"[ \t]+", " ")).replace("'g')", "'g')") + ")"
+STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 
-@query("WITH a AS (SELECT doc_id, regexp_replace(text, '[ \\t]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, regexp_replace(t, ' ?\\n ?', chr(10), 'g') AS t FROM a), c AS (SELECT doc_id, trim(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS t FROM b) SELECT doc_id, length(t) AS n, md5(t) AS cleaned FROM c")
+@query(measured("cleaned", STRIP.format(sql_steps("text", ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"))).replace("'\n\n'", "chr(10) || chr(10)"))))
 def whitespace_tidy(spark, root):
     return measure(spark, root, "cleaned", X.tidy_space)
 
 
+LINES = f"list_filter(list_transform(str_split(p, chr(10)), lambda l: {STRIP.format('l')}), lambda l: l <> '')"
+UNWRAPPED = f"""array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda p: array_to_string(list_transform({LINES}, lambda l, i:
+ CASE WHEN i = 1 THEN '' WHEN regexp_matches(l, '{X.HEADER_LINE}') OR regexp_matches(l, '{X.LIST_LINE}') OR regexp_matches(({LINES})[i - 1], '{X.HEADER_LINE}') THEN chr(10) ELSE ' ' END || l), '')), lambda p: p <> ''), chr(10) || chr(10))"""
+
+
+@query(measured("cleaned", UNWRAPPED))
+def soft_unwrap(spark, root):
+    return measure(spark, root, "cleaned", X.unwrap_lines)
+
+
 @query()
 def clean_full(spark, root):
     """All stages of cleaning, Unicode and soft wraps included."""
@@ -80,8 +101,8 @@ def slugs(spark, root):
     return docs(spark, root).where("title is not null").select("doc_id", X.slug(F.col("title")).alias("slug"))
 
 
-@query("""WITH f AS (SELECT doc_id, trim(str_split(trim(text, ' '), chr(10))[1], ' ') AS l FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, l, regexp_extract(l, '^#{1,6}\\s+(.+?)\\s*$', 1) AS h FROM f)
-SELECT doc_id, CASE WHEN h <> '' THEN h WHEN length(l) < 80 AND length(l) > 0 AND NOT regexp_matches(l, '[.:;]$') THEN l END AS title FROM h""")
+@query(f"""WITH f AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {STRIP.format('l')}), lambda l: l <> '')[1] AS l FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, l, trim(regexp_extract(l, '^#+\\s+(.+)$', 1)) AS h FROM f)
+SELECT doc_id, CASE WHEN h <> '' THEN h WHEN length(l) < 80 AND NOT regexp_matches(l, '[.:;]$') THEN l END AS title FROM h""")
 def title_infer(spark, root):
     return docs(spark, root).where("text is not null").select("doc_id", X.title(F.col("text")).alias("title"))
 
@@ -132,7 +153,21 @@ def chunk_documents(spark, root):
 
 @query()
 def structure_documents(spark, root):
-    return etl.structured(corpus(spark, root), "id").select("id", "part", "structure_type", "title", F.md5("text").alias("text"))
+    return etl.structured(corpus(spark, root), "id").select("id", "part_id", "section_number", "structure_type", "title", F.md5("text").alias("text"))
+
+
+@query()
+def ingest_documents(spark, root):
+    """Raw texts cleaned and then structured."""
+    return etl.ingested(corpus(spark, root), "id").select("id", "part_id", "section_number", "structure_type", "title", F.md5("text").alias("text"))
+
+
+@query("""WITH l AS (SELECT id, min(text) AS text FROM corpus_docs GROUP BY id), h AS (SELECT id, regexp_extract_all(text, '(?m)^(#{1,4})\\s+(.+)$', 2) AS t FROM l WHERE text IS NOT NULL AND trim(text) <> '')
+SELECT id, len(t) AS headings, coalesce(t[1], '') AS first_heading FROM h WHERE len(t) >= 2""")
+def markdown_headings(spark, root):
+    hs = F.regexp_extract_all("text", F.lit(f"(?d){etl.MARKDOWN}"), F.lit(2))
+    out = corpus(spark, root).where(F.trim("text") != "").select("id", hs.alias("t")).where(F.size("t") >= 2)
+    return out.select("id", F.size("t").cast("bigint").alias("headings"), F.element_at("t", 1).alias("first_heading"))
 
 
 @query()
@@ -146,14 +181,21 @@ def heading_counts(spark, root):
     return ls.groupBy("id").agg(F.count_if(F.col("line").rlike(r"^#{1,6}\s+\S")).alias("headings"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS w FROM eval_items)
-SELECT item_id, array_to_string(list_distinct_ordered, ' ') AS reversed FROM (SELECT item_id, list_reverse(w) AS list_distinct_ordered FROM w)""")
+@query("""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS w FROM eval_items),
+u AS (SELECT item_id, w, unnest(w) AS t, unnest(range(len(w))) AS i FROM w), d AS (SELECT item_id, string_agg(t, ' ' ORDER BY i) AS deduped FROM (SELECT item_id, t, min(i) AS i FROM u GROUP BY ALL) GROUP BY item_id)
+SELECT item_id, text AS whole, lower(array_to_string(w, ' ')) AS normalised, array_to_string(w[1:greatest(1, len(w) // 2)], ' ') AS shorter, array_to_string(w[1:32], ' ') AS head,
+ array_to_string(w[greatest(1, len(w) - 31):], ' ') AS tail, coalesce(deduped, '') AS deduped, array_to_string(list_reverse(w[1:64]), ' ') AS reversed FROM w LEFT JOIN d USING (item_id)""")
 def text_views(spark, root):
-    return table(spark, root, "eval_items").select("item_id", encoding.views(F.col("text"))[4].alias("reversed"))
+    v = encoding.views(F.col("text"))
+    names = ("whole", "normalised", "shorter", "head", "tail", "deduped", "reversed")
+    return table(spark, root, "eval_items").select("item_id", *[v[i].alias(n) for i, n in enumerate(names)])
+
+
+ENTITY = ", ".join(f"'{w}'" for w in answers.ENTITY_STOP)
 
 
-@query(f"""WITH r AS (SELECT item_id, regexp_extract_all(text, '([A-Z][A-Za-z0-9_-]+|[A-Za-z]+[0-9][A-Za-z0-9_-]*)') AS w FROM eval_items), u AS (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM r),
-k AS (SELECT item_id, w, min(i) AS i FROM u WHERE lower(w) NOT IN ({", ".join(f"'{w}'" for w in X.STOP_WORDS)}) GROUP BY item_id, w), s AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) AS e FROM k GROUP BY item_id)
+@query(f"""WITH r AS (SELECT item_id, regexp_extract_all(text, '\\b([A-Za-z][a-z]*)\\b', 1) AS w FROM eval_items), u AS (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM r),
+k AS (SELECT item_id, arg_min(w, i) AS w, min(i) AS i FROM u WHERE w ~ '^[A-Z].*' AND lower(w) NOT IN ({ENTITY}) GROUP BY item_id, lower(w)), s AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) AS e FROM k GROUP BY item_id)
 SELECT item_id, coalesce(e, '') AS entities FROM eval_items LEFT JOIN s USING (item_id)""")
 def entity_tokens(spark, root):
     return table(spark, root, "eval_items").select("item_id", F.array_join(answers.entities(F.col("text")), " ").alias("entities"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.catalog.registry import query, rounded
+from veldspar.functions import answers
 from veldspar.functions import geometry as G
 from veldspar.functions import vectors as V
 from veldspar.operators import encoding, evaluation, retrieval, store, taxonomy
 from veldspar.operators.lexical import ranked
-from veldspar.session import table
+from veldspar.session import Workspace, table
 
 # the vectors, and the variances of the learned estimator
 BASE = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS m FROM embeddings),
@@ -173,7 +174,7 @@ def trace_confidence(spark, root):
 EACH = "WITH x AS (SELECT label, unnest(range(len(embedding)))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
 
-@query(EACH + ", d AS (SELECT dim, avg(abs(x)) AS m FROM x GROUP BY dim) SELECT dim, round(m / greatest((SELECT avg(m) FROM d), 1e-6), 6) + 0.0 AS scale FROM d")
+@query(EACH + ", d AS (SELECT dim, avg(abs(x)) AS m FROM x GROUP BY dim) SELECT dim, round(greatest(m, 1e-6) / greatest((SELECT sqrt(sum(greatest(m, 1e-6) ** 2)) FROM d), 1e-6), 6) + 0.0 AS scale FROM d")
 def learned_sigma_fit(spark, root):
     return encoding.fit_scale(gaussians(spark, root)).select("dim", rounded("scale").alias("scale"))
 
@@ -186,19 +187,35 @@ def dissolver_variance(spark, root):
 @query()
 def heuristic_sigma(spark, root):
     """Covariance of the views of each evaluation item, as traces of diagonal and factor."""
-    items = table(spark, root, "eval_items").select(F.col("item_id"), F.posexplode(encoding.views(F.col("text"))).alias("v", "text"))
-    vec = encoding.hashed(items.select(F.struct("item_id", "v").alias("id"), "text"), "id", 16).select(F.col("id.item_id").alias("item_id"), "mu")
-    return encoding.heuristic_covariance(vec, "item_id", 4).select("item_id", rounded(G.trace("sigma_diag")).alias("diagonal"), rounded(G.trace("sigma_diag", "sigma_l")).alias("trace"))
+    out = encoding.encode(table(spark, root, "eval_items").select("item_id", "text"), "item_id", "heuristic", 64, 16)
+    return out.select("item_id", rounded(G.trace("sigma_diag")).alias("diagonal"), rounded(G.trace("sigma_diag", "sigma_l")).alias("trace"))
 
 
-@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS w FROM eval_items)
-SELECT item_id, len(w) AS n, round(CASE WHEN len(w) <= 1 THEN 0.5 * 0.01 + 1e-4 ELSE greatest(len(list_distinct(w))::DOUBLE / greatest(len(w), 1) * (1 - exp(-len(w) / 4.0)) * 0.51 * 1e-2, 1e-6) END, 9) + 0.0 AS variance FROM w""")
-def entity_query_variance(spark, root):
-    items = table(spark, root, "eval_items")
-    v = encoding.query_variance(F.col("text"), F.array(F.lit(0.5)))
-    from veldspar.functions.text import words
+@query()
+def entity_aware_sigma(spark, root):
+    """The same with five views, narrowed by how few different entities a text has."""
+    out = encoding.encode(table(spark, root, "eval_items").select("item_id", "text"), "item_id", "entity_aware", 64, 8)
+    return out.select("item_id", rounded(G.trace("sigma_diag")).alias("diagonal"), rounded(G.trace("sigma_diag", "sigma_l")).alias("trace"))
+
+
+ENTITY_STOP = ", ".join(f"'{w}'" for w in answers.ENTITY_STOP)
+ENTITIES = f"""e AS (SELECT item_id, list_filter(regexp_extract_all(text, '\\b([A-Za-z][a-z]*)\\b', 1), lambda w: w ~ '^[A-Z].*' AND NOT list_contains([{ENTITY_STOP}], lower(w))) AS e FROM eval_items)"""
+
 
-    return items.select("item_id", F.size(words(F.lower("text"))).cast("bigint").alias("n"), rounded(v[0], 9).alias("variance"))
+@query(f"WITH {ENTITIES} SELECT item_id, round(CASE WHEN len(e) = 0 THEN 0.5 ELSE greatest(len(list_distinct(list_transform(e, lambda w: lower(w))))::DOUBLE / len(e), 0.1) END, 9) + 0.0 AS scale FROM e")
+def entity_density(spark, root):
+    return table(spark, root, "eval_items").select("item_id", rounded(encoding.entity_scale(F.col("text")), 9).alias("scale"))
+
+
+@query(f"""WITH {ENTITIES}, w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS w FROM eval_items),
+x AS (SELECT item_id, len(w) AS n, greatest(len(list_distinct(list_transform(w, lambda t: lower(t))))::DOUBLE / greatest(len(w), 1), CASE WHEN len(e) > 0 THEN len(list_distinct(list_transform(e, lambda t: lower(t))))::DOUBLE / len(e) ELSE 0 END) * (1 - exp(-len(w) / 4.0)) AS d FROM w JOIN e USING (item_id)),
+t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS t FROM eval_items),
+b AS (SELECT item_id, ('0x' || substr(md5(t), 1, 4))::INTEGER % 64 AS dim, count(*) AS c FROM t GROUP BY ALL), m AS (SELECT item_id, dim, c / sqrt(sum(c * c) OVER (PARTITION BY item_id)) AS m FROM b)
+SELECT item_id, dim, round(greatest(CASE WHEN n <= 1 THEN m * 0.01 + 1e-4 ELSE greatest(least(d, 1), 0.05) * (m + 0.01) * 1e-2 END, 1e-6), 9) + 0.0 AS variance FROM m JOIN x USING (item_id)""")
+def entity_query_variance(spark, root):
+    out = encoding.encode_query(table(spark, root, "eval_items").select("item_id", "text"), "item_id", "entity_aware")
+    out = out.select("item_id", F.posexplode(F.arrays_zip("mu", "sigma_diag")).alias("dim", "z")).where("z.mu > 0")
+    return out.select("item_id", "dim", rounded(F.col("z.sigma_diag"), 9).alias("variance"))
 
 
 @query("""WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM eval_items),
@@ -271,6 +288,24 @@ def taxonomy_kmeans(spark, root):
     return taxonomy.assign(rows, c, "vec_id").where("rank = 1").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("similarity")).alias("similarity"))
 
 
+@query()
+def taxonomy_tree(spark, root):
+    """The tree of topics and leaves, with sizes and labels from the vectors' labels."""
+    rows = gaussians(spark, root).withColumn("text", F.concat(F.lit("label_"), F.col("label").cast("string"), F.lit(" vector_"), (F.col("vec_id") % 7).cast("string")))
+    tree = taxonomy.build(rows, "vec_id", Workspace(spark, "tree"))
+    return tree.nodes.select("node", "parent", "depth", "label", "item_count", "assigned_count")
+
+
+@query()
+def elk_dense(spark, root):
+    """ELK of full covariances, from diagonals and factors of rank 8, for the 30 nearest rows."""
+    rows = gaussians(spark, root).withColumn("sigma_l", encoding.learned_factor(F.col("sigma_diag")))
+    q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("mu").alias("q_mu"), F.col("sigma_diag").alias("q_sigma"), F.col("sigma_l").alias("q_l"))
+    near = retrieval.nearest(rows, q.select("query_id", F.col("q_mu").alias("mu")), 30, "l2", "vec_id").select("query_id", "vec_id")
+    both = near.join(q, "query_id").join(rows, "vec_id")
+    return both.select("query_id", "vec_id", rounded(G.elk_dense("q_mu", "q_sigma", "q_l", "mu", "sigma_diag", "sigma_l")).alias("score"))
+
+
 @query()
 def diversity_greedy(spark, root):
     rows = gaussians(spark, root)

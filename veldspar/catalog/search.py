@@ -9,7 +9,7 @@ from veldspar.functions import text as X
 from veldspar.functions import vectors as V
 from veldspar.operators import encoding, lexical, retrieval, taxonomy
 from veldspar.plans import hybrid
-from veldspar.session import table
+from veldspar.session import Workspace, table
 
 TOKENS = "list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 BM25 = f"""WITH d AS (SELECT doc_id, {TOKENS} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(coalesce(len(ts), 0)) AS avgdl FROM d),
@@ -24,11 +24,34 @@ def asked(spark, root):
     return table(spark, root, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
+_built: dict[tuple, object] = {}
+
+
+def once(spark, root, name, make):
+    """What is built from a data folder once per session, as a store's index is, and then read by its searches."""
+    at = (spark.sparkContext.applicationId, root, name)
+    if at not in _built:
+        _built[at] = make(Workspace(spark, name))
+    return _built[at]
+
+
+def index(spark, root) -> lexical.Index:
+    """The full-text index of the documents."""
+    return once(spark, root, "index", lambda w: lexical.Index.write(table(spark, root, "documents").select("doc_id", "text"), w.path("documents"), "doc_id"))
+
+
 def _bm25(spark, root, top=None):
-    out = lexical.bm25(table(spark, root, "documents"), asked(spark, root), "doc_id").withColumn("score", F.round("score", 9)).drop("rank")
+    out = lexical.bm25(None, asked(spark, root), "doc_id", index=index(spark, root)).withColumn("score", F.round("score", 9)).drop("rank")
     return lexical.ranked(out, ["query_id"], ["score", "doc_id"], top)
 
 
+@query(BM25 + " SELECT query_id, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 10")
+def bm25_unindexed(spark, root):
+    """The same result from the texts themselves."""
+    out = lexical.bm25(table(spark, root, "documents"), asked(spark, root), "doc_id").withColumn("score", F.round("score", 9)).drop("rank")
+    return lexical.ranked(out, ["query_id"], ["score", "doc_id"], 10).select("query_id", "doc_id", rounded("score").alias("score"), "rank")
+
+
 @query(BM25 + " SELECT query_id, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, root):
     return _bm25(spark, root, 10).select("query_id", "doc_id", rounded("score").alias("score"), "rank")
@@ -75,22 +98,39 @@ def keyword_extract(spark, root):
     return table(spark, root, "eval_items").select("item_id", X.keywords(F.col("text")).alias("keywords"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, coalesce(lower(trim(domain)), 'none') AS domain, {TOKENS} AS ts FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, domain, list_filter(ts, lambda t: len(t) >= 3 AND t ~ '^[a-z].*' AND NOT list_contains([{STOP}], t)) AS ts FROM t), n AS (SELECT domain, count(*) AS n FROM k GROUP BY domain),
+TERM_STOP = ", ".join(f"'{w}'" for w in taxonomy.TERM_STOP)
+LABELS = f"""WITH t AS (SELECT doc_id, coalesce(lower(trim(domain)), 'none') AS domain, list_filter(list_transform(regexp_extract_all(text, '{taxonomy.TERM}', 1), lambda t: lower(t)), lambda t: NOT list_contains([{TERM_STOP}], t)) AS ts FROM documents WHERE text IS NOT NULL),
+k AS (SELECT * FROM t WHERE len(ts) > 0), n AS (SELECT domain, count(*) AS n FROM k GROUP BY domain),
 tf AS (SELECT domain, term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, domain, unnest(ts) AS term FROM k) GROUP BY ALL),
-s AS (SELECT domain, term, round(tf * ln((n + 1.0) / (df + 1) + 1), 6) AS score FROM tf JOIN n USING (domain)), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, term)::INTEGER AS rank FROM s)
-SELECT * FROM r WHERE rank <= 5""")
+s AS (SELECT domain, term, round(tf * ln((n + 1.0) / (df + 1) + 1), 6) AS score FROM tf JOIN n USING (domain)), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, term)::INTEGER AS rank FROM s)"""
+
+
+def _domains(spark, root):
+    return table(spark, root, "documents").withColumn("domain", F.coalesce(F.lower(F.trim("domain")), F.lit("none")))
+
+
+@query(LABELS + " SELECT * FROM r WHERE rank <= 5")
 def tfidf_labels(spark, root):
-    docs = table(spark, root, "documents").withColumn("domain", F.coalesce(F.lower(F.trim("domain")), F.lit("none")))
-    return taxonomy.labels(docs, "domain")
+    return taxonomy.labels(_domains(spark, root), "domain")
+
+
+@query(LABELS + """ SELECT domain, coalesce(string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3), domain) AS label, coalesce(string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 5), domain) AS description
+FROM (SELECT DISTINCT domain FROM t) LEFT JOIN r USING (domain) GROUP BY domain""")
+def node_labels(spark, root):
+    docs = _domains(spark, root).where("text is not null")
+    return taxonomy.node_labels(taxonomy.labels(docs, "domain"), docs, "domain")
 
 
 def encoded(spark, root):
-    """Documents and questions by the hashing encoder, with learned variances."""
-    docs = table(spark, root, "documents").select("doc_id", "text")
-    vec = encoding.hashed(docs, "doc_id").withColumn("sigma_diag", encoding.learned_variance(F.col("mu")))
-    q = asked(spark, root)
-    return docs.join(vec, "doc_id"), q.join(encoding.hashed(q, "query_id"), "query_id")
+    """Documents and questions by the hashing encoder, with learned variances, encoded once."""
+
+    def make(work):
+        docs = table(spark, root, "documents").select("doc_id", "text")
+        vec = encoding.hashed(docs, "doc_id").withColumn("sigma_diag", encoding.learned_variance(F.col("mu")))
+        q = asked(spark, root)
+        return work.cut(docs.join(vec, "doc_id"), "documents"), work.cut(q.join(encoding.hashed(q, "query_id"), "query_id"), "questions")
+
+    return once(spark, root, "encoded", make)
 
 
 HASHED = """, hb AS (SELECT id, b, count(*) AS c FROM (SELECT id, ('0x' || substr(md5(t), 1, 4))::INTEGER % 64 AS b FROM (SELECT id, unnest(ts) AS t FROM src)) GROUP BY ALL),
@@ -115,7 +155,7 @@ def hybrid_candidates(spark, root):
 def hybrid_retrieve(spark, root):
     """Keywords and means together, reranked by ELK and cut at the widest gap."""
     docs, q = encoded(spark, root)
-    out = hybrid.retrieve(docs, q, key="doc_id")
+    out = hybrid.retrieve(docs, q, key="doc_id", index=index(spark, root))
     return out.select("query_id", "doc_id", "arm", rounded("score").alias("score"), rounded("confidence").alias("confidence"), "uncertainty_label", "rank")
 
 
@@ -124,7 +164,7 @@ def hybrid_retrieve_fixed(spark, root):
     """The same by Wasserstein distance and with a fixed number of results, inside an allow-list."""
     docs, q = encoded(spark, root)
     allowed = retrieval_allowed(docs, q)
-    out = hybrid.retrieve(docs, q, k=5, metric="w2", adaptive=False, allowed=allowed, key="doc_id")
+    out = hybrid.retrieve(docs, q, k=5, metric="w2", adaptive=False, allowed=allowed, key="doc_id", index=index(spark, root))
     return out.select("query_id", "doc_id", rounded("score").alias("score"), "rank")
 
 
@@ -135,6 +175,64 @@ def retrieval_allowed(docs, q):
     return terms.join(hits, "term").select("query_id", "doc_id").distinct()
 
 
+def _share(found):
+    """A deterministic stand-in for a scorer: the share of a question's terms that a passage holds."""
+    q, t = X.tokens(F.col("question")), X.tokens(F.col("text"))
+    p = F.size(F.array_intersect(q, t)) / F.greatest(F.size(F.array_distinct(q)), F.lit(1))
+    out = found.select("query_id", "doc_id", F.coalesce(p, F.lit(0.0)).alias("p"))
+    return out.select("query_id", "doc_id", F.col("p").alias("p_rel"), (0.4 + 0.6 * F.col("p")).alias("p_evi"), ((1 - F.col("p")) * 0.6).alias("p_con"), F.lit(3.0).alias("quality"), (F.col("p") >= 0.5).alias("is_relevant"), F.lit(False).alias("is_contradictory"))
+
+
+@query()
+def gated_retrieve(spark, root):
+    """Candidates pass a gate before they are reranked."""
+    docs, q = encoded(spark, root)
+    out = hybrid.retrieve_gated(docs, q, _share, key="doc_id", index=index(spark, root))
+    return out.select("query_id", "doc_id", rounded("score").alias("score"), rounded("gating.composite").alias("composite"), F.col("gating.passed").alias("passed"), "rank")
+
+
+@query()
+def diverse_retrieve(spark, root):
+    docs, q = encoded(spark, root)
+    return hybrid.retrieve_diverse(docs, q, 5, 0.3, key="doc_id", index=index(spark, root))
+
+
+def _senses(spark, root):
+    """Each question by its first and its last words, as two senses."""
+    docs, q = encoded(spark, root)
+    w = X.words(F.col("text"))
+    half = F.greatest(F.floor(F.size(w) / 2).cast("int"), F.lit(1))
+    parts = q.select("query_id", F.posexplode(F.array(F.array_join(F.slice(w, F.lit(1), half), " "), F.array_join(F.slice(w, half, F.size(w)), " "))).alias("sense_order", "text"))
+    key = F.struct("query_id", "sense_order")
+    vec = encoding.hashed(parts.select(key.alias("id"), "text"), "id").select("id.*", "mu")
+    return docs, parts.join(vec, ["query_id", "sense_order"]).withColumn("sense", F.concat(F.lit("s"), F.col("sense_order").cast("string"))).withColumn("weight", F.when(F.col("sense_order") == 0, 0.6).otherwise(0.4))
+
+
+@query()
+def sense_retrieve(spark, root):
+    """All senses of all questions in one batch, fused by turns, with the senses that found each passage."""
+    docs, s = _senses(spark, root)
+    shares, _ = hybrid.retrieve_senses(docs, s, key="doc_id", index=index(spark, root))
+    return shares.select("query_id", "doc_id", "sense", "rank", "place")
+
+
+@query("""WITH q AS (SELECT doc_id AS query_id, lower(trim(domain)) AS d, doc_id % 7 AS m FROM documents WHERE domain IS NOT NULL), b AS (SELECT DISTINCT d AS branch FROM q),
+p AS (SELECT query_id, branch, round(1.0 / (1 + abs(ascii(branch) - ascii(d)) + m), 6) AS p FROM q CROSS JOIN b WHERE branch <> d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, branch) AS n FROM p WHERE p >= 0.05)
+SELECT query_id, d AS branch, 1 AS place FROM q UNION ALL SELECT query_id, branch, 2 FROM r WHERE n = 1""")
+def branch_choice(spark, root):
+    """Branches by the probabilities of a stand-in for a decision service."""
+    q = table(spark, root, "documents").where("domain is not null").select(F.col("doc_id").alias("query_id"), F.lower(F.trim("domain")).alias("answer"))
+    names = q.select(F.col("answer").alias("branch")).distinct()
+    listed = F.broadcast(names.agg(F.array_sort(F.collect_set("branch")).alias("bs")))
+    p = F.transform("bs", lambda b: F.round(1 / (1 + F.abs(F.ascii(b) - F.ascii("answer")) + F.col("query_id") % 7), 6))
+    return taxonomy.branch_choice(q.join(listed).select("query_id", "answer", F.map_from_arrays("bs", p).alias("probabilities")), names)
+
+
+@query("""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '\\b([a-z]{4,})\\b', 1), lambda t: t <> '')[1:4] AS w FROM eval_items) SELECT item_id, array_to_string(w, ' ') AS hints FROM w""")
+def context_hints(spark, root):
+    return table(spark, root, "eval_items").select("item_id", F.array_join(X.hints(F.col("text")), " ").alias("hints"))
+
+
 @query("""WITH c AS (SELECT chunk_id, mu FROM (SELECT chunk_id, mu, row_number() OVER (PARTITION BY chunk_id ORDER BY ingest_seq DESC) AS n FROM chunks) WHERE n = 1), u AS (SELECT chunk_id, mu FROM c WHERE len(mu) = 64 AND len(list_filter(mu, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0)
 SELECT chunk_id, round(sqrt(list_dot_product(mu, mu)), 6) + 0.0 AS norm FROM u""")
 def usable_vectors(spark, root):

@@ -88,11 +88,26 @@ def gate_composite(spark, root):
     return ranked(g, ["query_id"], [F.desc("o"), "chunk_id"], 8).select("query_id", "chunk_id", rounded("composite").alias("composite"), "passed", "rank")
 
 
-@query(HITS + """, l AS (SELECT query_id, chunk_id, text, place, CASE WHEN c >= 0.5 THEN 'HIGH' WHEN c >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS sure, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id) AS n FROM f)
-SELECT query_id, string_agg('[' || n || '] (' || sure || ') ' || coalesce(text, ''), chr(10) ORDER BY n) AS context FROM l WHERE n <= 3 GROUP BY query_id""")
-def context_build(spark, root):
+ASKED = HITS + ", t AS (SELECT turn_id AS query_id, min(user_msg) AS q FROM chat_history GROUP BY turn_id)"
+CONTEXT = """'[CONTEXT START]' || chr(10) || chr(10) || '[QUERY] ' || coalesce(q, '') || chr(10) || chr(10) || coalesce(body, '') || '[CONTEXT END]'"""
+LISTED = ASKED + """, l AS (SELECT query_id, text, place, c, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id) AS n FROM f),
+b AS (SELECT query_id, string_agg('[Chunk ' || n || '] — Confidence: ' || CASE WHEN c >= 0.5 THEN 'HIGH' WHEN c >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY n) AS body,
+ string_agg('- (' || CASE WHEN c >= 0.5 THEN 'low' WHEN c >= 0.2 THEN 'medium' ELSE 'high' END || ') ' || coalesce(text, ''), chr(10) ORDER BY n) AS listed FROM l GROUP BY query_id)"""
+
+
+def _listed(spark, root):
     h = hits(spark, root).withColumn("uncertainty_label", G.uncertainty(F.col("c"))).withColumnRenamed("place", "rank")
-    return store.context(h, budget=3)
+    return h, table(spark, root, "chat_history").groupBy(F.col("turn_id").alias("query_id")).agg(F.min("user_msg").alias("text"))
+
+
+@query(LISTED + f" SELECT query_id, {CONTEXT} AS context FROM t LEFT JOIN b USING (query_id)")
+def context_build(spark, root):
+    return store.context(*_listed(spark, root))
+
+
+@query(LISTED + f""" SELECT query_id, md5({CONTEXT}) AS context, 'Query: ' || coalesce(q, '') || chr(10) || 'Evidence summary:' || coalesce(chr(10) || listed, '') AS answer FROM t LEFT JOIN b USING (query_id)""")
+def extractive_answers(spark, root):
+    return store.extractive_answer(*_listed(spark, root)).select("query_id", F.md5("context").alias("context"), "answer")
 
 
 @query("""WITH t AS (SELECT DISTINCT turn_id, session_id, ts FROM chat_history WHERE session_id IS NOT NULL) SELECT session_id, count(DISTINCT turn_id) AS turns, epoch_us(max(ts)) AS last_us FROM t GROUP BY session_id""")

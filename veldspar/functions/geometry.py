@@ -94,47 +94,82 @@ def bhattacharyya_diagonal(mu_a: Vec, a: Vec, mu_b: Vec, b: Vec) -> Column:
     return zip_total(gap, middle, lambda g, v: g / v) / 8 + 0.5 * (_log_determinant(middle) - 0.5 * (_log_determinant(a) + _log_determinant(b)))
 
 
-# General covariances: one Arrow batch at a time, grouped by rank and computed as stacked matrices.
+# General covariances: Arrow batches, in which the rows of one shape are computed together as stacked matrices.
 
 
-def _stack(values, width: int | None = None) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in values])
+def _shapes(*columns: pd.Series):
+    """Places of the rows without a null, and their arrays, by shape: ``(places, stacked arrays)``."""
+    groups: dict[tuple, list[int]] = {}
+    rows = list(zip(*columns))
+    for i, row in enumerate(rows):
+        if not any(x is None for x in row):
+            groups.setdefault(tuple(np.shape(x) for x in row), []).append(i)
+    for places in groups.values():
+        yield places, [np.stack([rows[i][c] for i in places]) for c in range(len(columns))]
 
 
 def _factor(value, d: int) -> np.ndarray:
+    """A factor's columns, as a matrix of d rows."""
     if value is None or len(value) == 0:
         return np.zeros((d, 0))
     return np.stack([np.asarray(c, float) for c in value], axis=1)
 
 
-def elk_low_rank_matrix(mu_q, var_q, l_q, mu_d, var_d, l_d) -> float:
-    """One pair: with D the sum of the floored diagonals and U both factors, by Woodbury and Sylvester."""
-    d = len(mu_q)
+def elk_low_rank_matrix(mu_q, var_q, l_q, mu_d, var_d, l_d) -> np.ndarray:
+    """With D the sum of the floored diagonals and U both factors, by Woodbury and Sylvester; leading axes are batches."""
+    d = mu_q.shape[-1]
     spread = np.maximum(var_q, FLOOR) + np.maximum(var_d, FLOOR)
     gap = mu_q - mu_d
-    u = np.hstack([l_q, l_d])
-    mahal, logdet = float(gap @ (gap / spread)), float(np.log(spread).sum())
-    if u.shape[1]:
-        m = np.eye(u.shape[1]) + u.T @ (u / spread[:, None])
+    u = np.concatenate([l_q, l_d], axis=-1)
+    mahal, logdet = (gap * gap / spread).sum(axis=-1), np.log(spread).sum(axis=-1)
+    if u.shape[-1]:
+        m = np.eye(u.shape[-1]) + np.einsum("...ir,...i,...is->...rs", u, 1 / spread, u)
         c = np.linalg.cholesky(m)
-        y = np.linalg.solve(c, u.T @ (gap / spread))
-        mahal = max(mahal - float(y @ y), 0.0)
-        logdet += 2 * float(np.log(np.diag(c)).sum())
+        y = np.linalg.solve(c, np.einsum("...ir,...i->...r", u, gap / spread)[..., None])[..., 0]
+        mahal = np.maximum(mahal - (y * y).sum(axis=-1), 0.0)
+        logdet = logdet + 2 * np.log(np.diagonal(c, axis1=-2, axis2=-1)).sum(axis=-1)
     return -0.5 * (mahal + logdet) / d
 
 
 @F.pandas_udf(T.DoubleType())
 def elk_low_rank(mu_q: pd.Series, var_q: pd.Series, l_q: pd.Series, mu_d: pd.Series, var_d: pd.Series, l_d: pd.Series) -> pd.Series:
     """ELK with factors of any rank; null variances of the query count as zeros, null factors as none."""
-    out = []
-    for mq, vq, lq, md, vd, ld in zip(mu_q, var_q, l_q, mu_d, var_d, l_d):
-        if mq is None or md is None or vd is None:
-            out.append(None)
-            continue
-        mq, md = np.asarray(mq, float), np.asarray(md, float)
-        vq = np.zeros(len(mq)) if vq is None else np.asarray(vq, float)
-        out.append(elk_low_rank_matrix(mq, vq, _factor(lq, len(mq)), md, np.asarray(vd, float), _factor(ld, len(md))))
-    return pd.Series(out, dtype="float64")
+    out = np.full(len(mu_q), np.nan)
+    size = [0 if m is None else len(m) for m in mu_d]
+    zeros = pd.Series([np.zeros(n) if v is None else v for v, n in zip(var_q, size)], index=mu_q.index, dtype=object)
+    lq, ld = (pd.Series([_factor(x, n) for x, n in zip(c, size)], index=mu_q.index, dtype=object) for c in (l_q, l_d))
+    for places, stacked in _shapes(mu_q, zeros, lq, mu_d, var_d, ld):
+        out[places] = elk_low_rank_matrix(*stacked)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("float64")
+
+
+def clipped(s: np.ndarray, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, floored, and eigenvectors of the symmetric part."""
+    w, v = np.linalg.eigh((s + np.swapaxes(s, -1, -2)) / 2)
+    return np.maximum(w, floor), v
+
+
+def elk_matrix(m1, s1, m2, s2) -> float:
+    """ELK of full covariances, whose eigenvalues, and those of their sum, are floored."""
+    both = sum((v * w) @ v.T for w, v in (clipped(np.nan_to_num(s)) for s in (s1, s2)))
+    w, v = clipped(both)
+    gap = v.T @ (m1 - m2)
+    return float(-0.5 * ((gap * gap / w).sum() + np.log(w).sum()) / max(len(m1), 1))
+
+
+def kl_matrix(m1, s1, m2, s2, floor: float = FLOOR) -> float:
+    """KL(1 || 2); both determinants are floored."""
+    inverse = np.linalg.inv(s2)
+    gap = m2 - m1
+    logs = np.log(max(np.linalg.det(s2), floor)) - np.log(max(np.linalg.det(s1), floor))
+    return float(0.5 * (logs - len(m1) + np.trace(inverse @ s1) + gap @ inverse @ gap))
+
+
+def bhattacharyya_matrix(m1, s1, m2, s2, floor: float = FLOOR) -> float:
+    middle = (s1 + s2) / 2
+    gap = m1 - m2
+    dets = [max(np.linalg.det(s), floor) for s in (middle, s1, s2)]
+    return float(gap @ np.linalg.solve(middle, gap) / 8 + 0.5 * (np.log(dets[0]) - 0.5 * (np.log(dets[1]) + np.log(dets[2]))))
 
 
 def spd_root(s: np.ndarray, floor: float = FLOOR) -> np.ndarray:
@@ -194,10 +229,15 @@ def _pairwise(f):
 
 wasserstein = _pairwise(wasserstein_matrix)
 fisher_rao = _pairwise(fisher_rao_matrix)
+elk_dense = _pairwise(elk_matrix)
+kl = _pairwise(kl_matrix)
+bhattacharyya = _pairwise(bhattacharyya_matrix)
 
 
 def diagonal_plus_low_rank(cov: np.ndarray, rank: int, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """The diagonal, floored, and the ``rank`` largest eigenpairs of what is off it, as a factor."""
-    w, v = np.linalg.eigh(cov - np.diag(np.diag(cov)))
+    cov = (cov + cov.T) / 2
+    diagonal = np.maximum(np.diag(cov), floor)
+    w, v = np.linalg.eigh(cov - np.diag(diagonal))
     top = np.argsort(w)[::-1][:rank]
-    return np.maximum(np.diag(cov), floor), v[:, top] * np.sqrt(np.maximum(w[top], 0))
+    return diagonal, v[:, top] * np.sqrt(np.maximum(w[top], 0))

@@ -15,13 +15,13 @@ from pyspark.sql import types as T
 from veldspar.functions import vectors as V
 from veldspar.operators.lexical import ranked
 
-MOST_QUERIES = 20_000
+MOST_QUERIES = 5_000
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", key: str = "chunk_id", vector: str = "mu") -> DataFrame:
     """``(query_id, key, distance, rank)``: the ``k`` nearest rows of each query, exactly.
 
-    Blocks of at most 20,000 queries are compared with every batch of rows as matrices, and only the k best of a task leave
+    Blocks of at most 5,000 queries are compared with every batch of rows as one matrix product, and only the k best of a task leave
     it.  The metric is ``l2`` or ``cosine`` (1 - cosine, 1 for a zero vector).  Rows and queries with null vectors, or of another length than the
     first query, take no part.  Ties go by the key.
     """
@@ -66,7 +66,8 @@ def _nearest(ids: list, vectors: list, k: int, metric: str, key: str, schema: T.
         q = np.array([vectors[i] for i in use], np.float64).reshape(len(use), d)
         if metric == "cosine":
             q = _unit(q)
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(use)
+        size = (q * q).sum(axis=1)
+        best = (np.empty(0, np.int64), np.empty(0), np.empty(0, object))  # query, distance, key
         for b in batches:
             at = np.flatnonzero(np.asarray(b.column(1).value_lengths()) == d)
             if not len(at):
@@ -75,19 +76,21 @@ def _nearest(ids: list, vectors: list, k: int, metric: str, key: str, schema: T.
             keys = b.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False)
             if metric == "cosine":
                 x = _unit(x)
-            for i in range(len(use)):
-                far = 1 - x @ q[i] if metric == "cosine" else np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                mine = keys
-                if best[i] is not None:
-                    far, mine = np.concatenate([best[i][0], far]), np.concatenate([best[i][1], mine])
-                if len(far) > k:
-                    near = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1])
-                    near = near[np.lexsort((mine[near], far[near]))[:k]]
-                    far, mine = far[near], mine[near]
-                best[i] = (far, mine)
-        for i, found in zip(use, best):
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(found[0]), arrow.field(0).type), pa.array(found[1], arrow.field(1).type), pa.array(found[0])], schema=arrow)
+            rough = -2 * (q @ x.T)  # the squared distance without what all rows of a query share
+            rough += (x * x).sum(axis=1)[None]
+            edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+            i, j = np.nonzero(rough <= (edge + 1e-9 * (1 + np.abs(edge) + size))[:, None])
+            far = 1 - (x[j] * q[i]).sum(axis=1) if metric == "cosine" else np.sqrt(((x[j] - q[i]) ** 2).sum(axis=1))
+            i, far, mine = (np.concatenate(z) for z in zip(best, (i, far, keys[j])))
+            order = np.lexsort((mine, far, i))
+            i, far, mine = i[order], far[order], mine[order]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            best = i[place < k], far[place < k], mine[place < k]
+        i, far, mine = best
+        if len(i):
+            names = pa.array([ids[n] for n in use], arrow.field(0).type)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), pa.array(mine, arrow.field(1).type), pa.array(far)], schema=arrow)
 
     return run
 
@@ -150,6 +153,15 @@ def gate(scores: DataFrame, most: int = 8, least_composite: float = 0.15, most_c
     return ranked(out, ["query_id"], [F.desc("composite"), key], most)
 
 
+def provenance(fused: DataFrame, per_sense: DataFrame, weights: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``(query_id, sense, key, rank, place)``: every fused passage under each sense that found it, passages in fused order, the senses of one by its rank there, their weight and order.
+
+    ``weights(query_id, sense, weight, sense_order)``.
+    """
+    both = fused.select("query_id", key, "rank").join(per_sense.select("query_id", "sense", key, F.col("rank").alias("sense_rank")), ["query_id", key]).join(weights, ["query_id", "sense"])
+    return ranked(both.withColumnRenamed("rank", "fused_rank"), ["query_id", key], ["sense_rank", F.desc("weight"), "sense_order"]).select("query_id", "sense", key, F.col("fused_rank").alias("rank"), F.col("rank").alias("place"))
+
+
 def interleave(per_sense: DataFrame, top: int | None = None, key: str = "chunk_id") -> DataFrame:
     """Round robin over the senses of a query, each passage once: ``per_sense(query_id, sense, sense_order, key, rank)``."""
     first = per_sense.groupBy("query_id", key).agg(F.min(F.struct("rank", "sense_order", "sense")).alias("s"))
@@ -163,8 +175,8 @@ def weighted_max(per_sense: DataFrame, top: int | None = None, key: str = "chunk
     return ranked(best, ["query_id"], [F.desc("fused"), key], top)
 
 
-def diverse(ranked_rows: DataFrame, threshold: float = 0.3, top: int = 5, key: str = "chunk_id") -> DataFrame:
-    """Greedily, in order of rank, the rows farther than ``threshold`` (diagonal Wasserstein) from all kept, at most ``top``.
+def diverse(ranked_rows: DataFrame, threshold: float = 0.3, top: int | None = 5, key: str = "chunk_id") -> DataFrame:
+    """Greedily, in order of rank, the rows farther than ``threshold`` (diagonal Wasserstein) from all kept, at most ``top`` unless it is None.
 
     ``ranked_rows(query_id, key, rank, mu, sigma_diag)`` holds the candidates of each query, a pool of bounded size.
     """

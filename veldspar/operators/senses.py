@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import text as X
@@ -90,3 +90,58 @@ def domains(texts: DataFrame, vocabulary: DataFrame, key: str, most: int = 5) ->
     top = ranked(each, [key], [F.desc("hits"), "domain"], most)
     none = texts.select(key).distinct().join(top.select(key), key, "left_anti").select(key, F.lit("general").alias("domain"), F.lit(0).alias("hits"), F.lit(1).alias("rank"))
     return top.unionByName(none)
+
+
+def generated(terms: DataFrame, least: float = 0.3) -> DataFrame:
+    """``(sense_id, term, domain, confidence, context_hints, supporting_evidence, retrieval_query)`` of a model's answer ``(term, senses array<struct>)``.
+
+    A term, in lower case, needs two senses or more, whatever their confidence; those below ``least`` are then left out.  The query is the term with its first three hints.
+    """
+    each = terms.where((F.coalesce("term", F.lit("")) != "") & (F.size("senses") >= 2)).select(F.lower("term").alias("term"), F.explode("senses").alias("s"))
+    each = each.select("term", F.coalesce("s.domain", F.lit("unknown")).alias("domain"), F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("s.context_hints", F.array().cast("array<string>")).alias("context_hints"), F.coalesce("s.supporting_evidence", F.array().cast("array<string>")).alias("supporting_evidence"))
+    key = X.stable_id(F.concat_ws(":", "term", "domain"))
+    query_ = F.trim(F.concat_ws(" ", "term", F.array_join(F.slice("context_hints", 1, 3), " ")))
+    return each.where(F.col("confidence") >= least).select(key.alias("sense_id"), "*", query_.alias("retrieval_query"))
+
+
+def light(weighted: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Ids of the senses below the threshold, a missing weight counting as none."""
+    return weighted.where(F.coalesce("weight", F.lit(0.0)) < threshold).select("sense_id")
+
+
+def of_term(cached: DataFrame, term: str, now: Column | None = None) -> DataFrame:
+    """The senses of a term that are alive."""
+    return alive(cached.where(F.col("term") == term), now)
+
+
+def chosen(candidates: DataFrame, by: str = "query_id", most: int = 3) -> DataFrame:
+    """``(by, label, domain, confidence, context_hints, retrieval_query, rank)``: the likeliest of a query's candidates ``(by, place, label, domain, text, probability)``.
+
+    Confidences are the shares of the probabilities among these, rounded to four digits; those of none are left out, and where nothing is left the first candidate has a confidence of 1.
+    """
+    p = F.coalesce("probability", F.lit(0.0))
+    top = ranked(candidates.withColumn("p", p), [by], [F.desc("p"), "place"], most)
+    total = F.sum("p").over(Window.partitionBy(by))
+    kept = top.withColumn("confidence", F.round(F.col("p") / F.when(total == 0, 1.0).otherwise(total), 4)).where("p > 0")
+    none = ranked(candidates.join(kept.select(by), by, "left_anti"), [by], ["place"], 1).withColumn("confidence", F.lit(1.0))
+    columns = [by, "label", "domain", "confidence", X.hints(F.col("text")).alias("context_hints"), F.concat(F.col("text"), F.lit(" ("), F.col("label"), F.lit(")")).alias("retrieval_query"), "rank"]
+    return kept.select(*columns).unionByName(none.select(*columns))
+
+
+def nearest_passage(anchors: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``(sense_id, w2)``: the diagonal Wasserstein distance of each sense's anchor to the passage nearest by its mean, for ``ground``."""
+    from veldspar.functions.geometry import wasserstein_diagonal
+    from veldspar.operators.retrieval import nearest
+
+    near = nearest(chunks, anchors.select(F.col("sense_id").alias("query_id"), "mu"), 1, "l2", key)
+    both = near.select(F.col("query_id").alias("sense_id"), key).join(chunks.select(key, F.col("mu").alias("_m"), F.col("sigma_diag").alias("_s")), key).join(anchors.select("sense_id", "mu", "sigma_diag"), "sense_id")
+    return both.select("sense_id", wasserstein_diagonal("mu", "sigma_diag", "_m", "_s").alias("w2"))
+
+
+def save(senses: DataFrame, path: str) -> None:
+    senses.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def load(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
+    """The saved senses that are alive."""
+    return alive(spark.read.parquet(path), now)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.functions.answers import prompt
 from veldspar.operators.lexical import ranked
 
 
@@ -48,17 +49,69 @@ def first_of_equal_texts(df: DataFrame, key: str, text: str = "text") -> DataFra
     return ok.groupBy(t.alias("text")).agg(F.min(key).alias(key)).select(key, "text")
 
 
-def context(hits: DataFrame, by: str = "query_id", order: str = "rank", budget: int | None = None) -> DataFrame:
-    """``(by, context)``: numbered passages with their certainty, in order; with a budget, at most so many different ones.
+def certainty(label: Column) -> Column:
+    """HIGH, MEDIUM or LOW as the inverse of an uncertainty; an unknown one is MEDIUM."""
+    low = F.lower(label)
+    return F.when(low == "low", "HIGH").when(low == "high", "LOW").otherwise("MEDIUM")
 
-    The certainty is the inverse of ``uncertainty_label``; result lists are of bounded size.
+
+def _lines(place: DataFrame, by: str, *line: Column) -> DataFrame:
+    each = F.concat_ws("\n", *line)
+    return place.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", each.alias("line")))), lambda s: s["line"]).alias("lines"))
+
+
+def context(hits: DataFrame, queries: DataFrame, by: str = "query_id", order: str = "rank") -> DataFrame:
+    """``(by, context)``: for each of ``queries(by, text)`` its passages ``hits(by, order, text, uncertainty_label)`` in order, each with its certainty; result lists are of bounded size."""
+    place = ranked(hits.withColumnRenamed(order, "o"), [by], ["o", "chunk_id"])
+    body = _lines(place, by, F.concat(F.lit("[Chunk "), F.col("rank").cast("string"), F.lit("] — Confidence: "), certainty(F.col("uncertainty_label"))), F.coalesce("text", F.lit("")), F.lit(""))
+    both = queries.select(by, "text").join(body, by, "left")
+    head = F.array(F.lit("[CONTEXT START]"), F.lit(""), F.concat(F.lit("[QUERY] "), F.coalesce("text", F.lit(""))), F.lit(""))
+    return both.select(by, F.array_join(F.concat(head, F.coalesce("lines", F.array().cast("array<string>")), F.array(F.lit("[CONTEXT END]"))), "\n").alias("context"))
+
+
+def multi_sense_context(hits: DataFrame, queries: DataFrame, senses: DataFrame, by: str = "query_id", budget: int | None = None) -> DataFrame:
+    """``(by, context)``: the passages of each sense under its letter and domain, each passage once over all senses, at most ``budget`` in all.
+
+    ``senses(by, sense_order, domain)`` with orders from 0; ``hits(by, sense_order, rank, chunk_id, text, uncertainty_label)``.  A sense without passages says so.
     """
-    sure = F.when(F.col("uncertainty_label") == "low", "HIGH").when(F.col("uncertainty_label") == "medium", "MEDIUM").otherwise("LOW")
-    first = hits.groupBy(by, "chunk_id").agg(F.min(F.struct(order, "text", "uncertainty_label")).alias("s")).select(by, "chunk_id", f"s.{order}", "s.text", "s.uncertainty_label")
-    place = ranked(first.withColumnRenamed(order, "o"), [by], ["o", "chunk_id"], budget)
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), sure, F.lit(") "), F.coalesce("text", F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    return place.groupBy(by).agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("context"))
+    mark = F.char(F.col("sense_order") + 65)
+    w = Window.partitionBy(by, "chunk_id").orderBy("sense_order", "rank")
+    first = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    first = first.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy("sense_order", "rank")))
+    kept = first if budget is None else first.where(F.col("_at") <= budget)
+    line = F.concat_ws("\n", F.concat(F.lit("  [Chunk "), mark, F.col("rank").cast("string"), F.lit("] — Confidence: "), certainty(F.col("uncertainty_label"))), F.concat(F.lit("  "), F.coalesce("text", F.lit(""))), F.lit(""))
+    body = kept.groupBy(by, "sense_order").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]).alias("lines"), F.min("_at").alias("_first"))
+    any_ = hits.groupBy(by, "sense_order").agg(F.lit(True).alias("_any"))
+    shown = kept.select(by, "sense_order", F.lit(1).alias("_k")).groupBy(by, "sense_order").agg(F.sum("_k").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(by).orderBy("sense_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = senses.select(by, "sense_order", "domain").join(body, [by, "sense_order"], "left").join(any_, [by, "sense_order"], "left").join(shown, [by, "sense_order"], "left").withColumn("_before", before)
+    spent = F.col("_before") >= budget if budget is not None else F.lit(False)
+    empty = F.when(F.col("_any").isNull() | spent, "  (no results for this sense)").otherwise("  (no unique results for this sense within top-k budget)")
+    lines = F.concat(F.array(F.concat(F.lit("[Sense "), mark, F.lit(": "), F.col("domain"), F.lit("]"))), F.coalesce("lines", F.array(empty, F.lit(""))))
+    each = each.groupBy(by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sense_order", lines.alias("lines")))), lambda s: s["lines"])).alias("lines"))
+    both = queries.select(by, "text").join(each, by, "left")
+    head = F.array(F.lit("[CONTEXT START — MULTI-SENSE]"), F.lit(""), F.concat(F.lit("[QUERY] "), F.coalesce("text", F.lit(""))), F.lit(""))
+    return both.select(by, F.array_join(F.concat(head, F.coalesce("lines", F.array().cast("array<string>")), F.array(F.lit("[CONTEXT END]"))), "\n").alias("context"))
+
+
+def extractive_answer(hits: DataFrame, queries: DataFrame, by: str = "query_id", order: str = "rank") -> DataFrame:
+    """``(by, context, prompt, answer)``: the context, the prompt for a model, and an answer made of the passages themselves."""
+    place = ranked(hits.withColumnRenamed(order, "o"), [by], ["o", "chunk_id"])
+    body = _lines(place, by, F.concat(F.lit("- ("), F.col("uncertainty_label"), F.lit(") "), F.coalesce("text", F.lit(""))))
+    head = F.array(F.concat(F.lit("Query: "), F.coalesce("text", F.lit(""))), F.lit("Evidence summary:"))
+    answer = F.array_join(F.concat(head, F.coalesce("lines", F.array().cast("array<string>"))), "\n")
+    out = queries.select(by, "text").join(body, by, "left").select(by, "text", answer.alias("answer")).join(context(hits, queries, by, order), by)
+    return out.select(by, "context", prompt(F.col("context"), F.coalesce("text", F.lit(""))).alias("prompt"), "answer")
+
+
+def passage(df: DataFrame, wanted: str, key: str = "chunk_id") -> DataFrame:
+    """The text of one passage; no row for an unknown id."""
+    return df.where(F.col(key) == wanted).select("text").limit(1)
+
+
+def serialised(df: DataFrame, by: str = "query_id", order: str = "rank") -> DataFrame:
+    """``(by, json)``: the rows of each result list, in order, as a JSON array of objects."""
+    return df.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (by, order)])))).alias("json"))
 
 
 def branches(sessions: DataFrame) -> DataFrame:

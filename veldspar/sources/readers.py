@@ -35,7 +35,7 @@ def _stem(path: str = "path"):
     return F.regexp_extract(F.col(path), r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def whole_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+def whole_files(spark: SparkSession, path: str | list[str], glob: str = "*", recursive: bool = True) -> DataFrame:
     """Each file as one text, ordered names as ids; bytes that are no UTF-8 are read as Latin-1, and unreadable files skipped."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true").load(path)
     utf = F.try_validate_utf8(F.col("content").cast("string"))
@@ -54,7 +54,7 @@ def jsonl(spark: SparkSession, path: str, text_field: str, id_field: str | None
     return records((reader.schema(schema) if schema else reader).json(path), text_field, id_field)
 
 
-def json_documents(spark: SparkSession, path: str, text_field: str, id_field: str | None = None) -> DataFrame:
+def json_documents(spark: SparkSession, path: str | list[str], text_field: str, id_field: str | None = None) -> DataFrame:
     """A file with a list of objects, an object whose first list is meant, one object, or a bare value as the text."""
 
     def run(batches):
@@ -99,6 +99,25 @@ def file(spark: SparkSession, path: str, text_field: str = "text", id_field: str
     return whole_files(spark, path)
 
 
+def folder(spark: SparkSession, path: str, text_field: str = "text", id_field: str | None = None) -> DataFrame:
+    """All files under a folder, each kind by its ending in one pass of its own, with the file beside each row's metadata; what cannot be read is skipped."""
+    kinds = {"json": json_documents, "jsonl": jsonl, "csv": csv}
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found: dict[str, list[str]] = {}
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        end = name.rsplit(".", 1)[-1].lower()
+        found.setdefault(end if end in kinds else "", []).append(name)
+    out = None
+    for end in sorted(found):
+        for part in [sorted(found[end])] if end in ("", "json") else [[f] for f in sorted(found[end])]:
+            df = whole_files(spark, part) if not end else kinds[end](spark, part if end == "json" else part[0], text_field, id_field)
+            out = df if out is None else out.unionByName(df)
+    return spark.createDataFrame([], DOCUMENT) if out is None else out
+
+
 def benchmark(spark: SparkSession, path: str) -> DataFrame:
     """``(query_id, query, chunk_id)`` of a JSON list of ``{query, relevant_ids}``; items without a query and ids that are no strings are dropped."""
     raw = spark.read.schema("query string, relevant_ids array<string>").option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions.text import fingerprint
-from veldspar.operators.lexical import postings
+from veldspar.operators.lexical import Index
 
 
-def save_store(chunks: DataFrame, path: str, buckets: int = 16) -> None:
-    """The chunks, and the postings derived from them, as compressed Parquet; postings are clustered by term."""
+def save_store(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """The chunks, and the index for full-text search derived from them, as compressed Parquet."""
     chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    postings(stored).repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    Index.write(chunks.sparkSession.read.parquet(f"{path}/chunks"), f"{path}/index", key)
+
+
+def load_index(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
+    """The stored index, made anew from the chunks where it is missing."""
+    try:
+        return Index(spark, f"{path}/index", key)
+    except AnalysisException:
+        return Index.write(spark.read.parquet(f"{path}/chunks"), f"{path}/index", key)
 
 
 def load_store(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +48,7 @@ def to_markdown(docs: DataFrame, path: str, order: str, title: str | None = None
 
 
 def to_text(docs: DataFrame, path: str, order: str) -> None:
-    value = F.concat(F.lit("=== "), F.coalesce("title", F.lit("Untitled")), F.lit(" ===\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    value = F.concat(F.lit("=== "), F.coalesce("title", F.lit("Untitled")), F.lit(" ===\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     docs.select(F.col(order).alias("order"), value.alias("value")).orderBy("order").select("value").write.mode("overwrite").text(path)
 
 
@@ -65,3 +73,39 @@ def store_results(results: DataFrame, path: str, version: str) -> None:
     """Append ``(text, result)`` to the cache."""
     out = results.select(fingerprint(F.col("text")).alias("fingerprint"), "result", F.lit(version).alias("version"), F.current_timestamp().alias("stored_at"))
     out.write.mode("append").parquet(path)
+
+
+def cache_stats(spark: SparkSession, path: str) -> DataFrame:
+    """``(entries, bytes)`` of the cache."""
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.length("result")), F.lit(0)).alias("bytes"))
+
+
+def _rewrite(spark: SparkSession, path: str, keep) -> None:
+    """What is kept is written beside the cache first, so that a lost job leaves it whole."""
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path.rstrip("/") + "-new"))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    keep(spark.read.parquet(path)).write.mode("overwrite").parquet(new.toString())
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
+def invalidate(spark: SparkSession, path: str, texts: DataFrame) -> None:
+    """Drop the entries of the given ``texts (text)``."""
+    gone = texts.select(fingerprint(F.col("text")).alias("fingerprint"))
+    _rewrite(spark, path, lambda rows: rows.join(gone, "fingerprint", "left_anti"))
+
+
+def evict(spark: SparkSession, path: str, most: int) -> None:
+    """Keep the ``most`` newest entries."""
+    _rewrite(spark, path, lambda rows: rows.orderBy(F.desc("stored_at"), "fingerprint").limit(most))
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    _rewrite(spark, path, lambda rows: rows.limit(0))
+
+
+def append_turns(turns: DataFrame, path: str) -> None:
+    """Append saved turns of a chat, each with the time it was saved unless it has one."""
+    out = turns if "ts" in turns.columns else turns.withColumn("ts", F.current_timestamp())
+    out.write.mode("append").parquet(path)
