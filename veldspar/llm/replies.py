@@ -169,72 +169,94 @@ def is_refusal(answer: str) -> bool:
 
 
 class Parser:
-    """A pushdown parser of code fences, brackets, quotations and markup; what is left on the stack was cut off.
+    """A pushdown parser of code fences, lists, brackets, quotations and markup, all on one stack; what is left there was cut off.
 
-    ``stack`` has brackets and quotations, ``markup`` HTML tags, strong emphasis and inline code. A list of HTML is a tag;
-    lists of lines close with their line and are judged by their last entry.
+    Symbols are the mark that opened: a fence, ``-`` for a list of lines, a bracket or quotation mark, an HTML tag as ``<tag``, ``**`` or backticks.  A closing mark
+    takes with it what was opened after its own, where that can be left open.  Emphasis and inline code end with their paragraph, a list with the first line that neither is an entry nor goes on with one.
     """
 
     PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
     OPEN = frozenset("([{“«")
+    SPECIAL = _re(r"[()\[\]{}“”«»\"]")
 
     def __init__(self, text: str):
         self.stack: list[str] = []
-        self.markup: list[str] = []
-        fence = False
+        entry = False
         for line in text.split("\n"):
             if _re(r"\s*(?:```|~~~)").match(line):
-                fence = not fence
-                if len(line.strip()) > 6 and line.strip().endswith("```"):
-                    fence = not fence
+                whole = len(line.strip()) > 6 and line.strip().endswith("```")
+                if not whole:
+                    self._close("```") if "```" in self.stack else self.stack.append("```")
                 continue
-            if fence:
+            if "```" in self.stack:
                 continue
-            if not line.strip() and self.markup:  # emphasis and inline code end with their paragraph
-                self.markup = [m for m in self.markup if m.startswith("<")]
+            if not line.strip():
+                self.stack = [m for m in self.stack if m[0] not in "`*"]
+                continue
+            was, entry = entry, bool(LIST_ENTRY.match(line))
+            if entry and "-" not in self.stack:
+                self.stack.append("-")
+            elif not entry and not was and "-" in self.stack:
+                self.stack.remove("-")
             self._mark(line)
-            quotes = 0
-            for i, c in enumerate(line):
-                if c in self.OPEN:
-                    if c == "“" and self.stack and self.stack[-1] == "“":
-                        continue
+            if self.SPECIAL.search(line):
+                self._brackets(line)
+
+    def _close(self, mark: str) -> None:
+        while self.stack.pop() != mark:
+            pass
+
+    def _brackets(self, line: str) -> None:
+        quotes = 0
+        for i, c in enumerate(line):
+            if c in self.OPEN:
+                if c != "“" or self.open != "“":
                     self.stack.append(c)
-                elif c in self.PAIRS:
-                    if c == ")" and _re(r"^\s*(?:\d{1,3}|[a-z])\)").match(line) and i < 6:
-                        continue
-                    if self.PAIRS[c] in self.stack:
-                        while self.stack.pop() != self.PAIRS[c]:
-                            pass
-                elif c == '"':
-                    quotes += 1
-            if quotes % 2:
-                self.stack.remove('"') if '"' in self.stack else self.stack.append('"')
-        self.fence = fence
+            elif c in self.PAIRS:
+                if c == ")" and i < 6 and _re(r"^\s*(?:\d{1,3}|[a-z])\)").match(line):
+                    continue
+                if self.PAIRS[c] in self.stack:
+                    at = len(self.stack) - 1 - self.stack[::-1].index(self.PAIRS[c])
+                    self.stack[at:] = [m for m in self.stack[at:] if m[0] in "<`*-"]
+            elif c == '"':
+                quotes += 1
+        if quotes % 2:
+            self.stack.remove('"') if '"' in self.stack else self.stack.append('"')
 
     def _mark(self, line: str) -> None:
         """Push and pop the markup of a line; within inline code nothing else counts."""
         for m in MARKUP.finditer(line):
             mark = m[0]
-            code = next((x for x in self.markup if x[0] == "`"), None)
+            code = next((x for x in self.stack if x[0] == "`"), None)
             if code or mark[0] == "`":
                 if not code:
-                    self.markup.append(mark)
+                    self.stack.append(mark)
                 elif mark == code:
-                    self.markup.remove(mark)
+                    self.stack.remove(mark)
             elif mark[0] == "<":
                 tag = "<" + m["tag"].lower()
                 if m["end"]:
-                    if tag in self.markup:
-                        while self.markup.pop() != tag:
-                            pass
+                    if tag in self.stack:
+                        at = len(self.stack) - 1 - self.stack[::-1].index(tag)
+                        self.stack[at:] = [x for x in self.stack[at:] if x[0] not in "<*"]
                 elif not mark.endswith("/>"):
-                    if tag in ("<li", "<p") and self.markup and self.markup[-1] == tag:
+                    if tag in ("<li", "<p") and tag == next((x for x in reversed(self.stack) if x[0] == "<"), None):
                         continue  # the one before ends without a tag
-                    self.markup.append(tag)
-            elif mark in self.markup:
-                self.markup.remove(mark)
+                    self.stack.append(tag)
+            elif mark in self.stack:
+                self.stack.remove(mark)
             elif line[m.end() : m.end() + 1].strip() and not line[: m.start()][-1:].isalnum():
-                self.markup.append(mark)
+                self.stack.append(mark)
+
+    @property
+    def open(self) -> str | None:
+        """The last bracket or quotation left open."""
+        return next((m for m in reversed(self.stack) if m[0] not in "<`*-"), None)
+
+    @property
+    def cut(self) -> bool:
+        """Whether a fence, inline code, emphasis, or a tag that needs an end is left open."""
+        return any(m[0] in "`*" or m[0] == "<" and m not in ("<p", "<li") for m in self.stack)
 
 
 def ends_open(line: str) -> bool:
@@ -248,7 +270,7 @@ def ends_open(line: str) -> bool:
 def is_truncated(answer: str) -> bool:
     text = INVISIBLE.sub(lambda m: "\n" if "\n" in m[0] else " ", answer).strip()
     p = Parser(text)
-    if p.fence or any(m not in ("<p", "<li") for m in p.markup):
+    if p.cut:
         return True
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1].strip()
@@ -258,7 +280,7 @@ def is_truncated(answer: str) -> bool:
     marked = bare != last
     if not bare:
         return False
-    if p.stack and p.stack[-1] in "([{“«\"" and not marked:
+    if p.open and not marked:
         return True
     if TERMINAL.search(bare):
         word = _re(r"([\p{L}.]+)\.$").search(bare)
@@ -266,7 +288,7 @@ def is_truncated(answer: str) -> bool:
             return True
         return bool(_re(r"(?:\.\.\.|…)$").search(bare)) and len(bare) > 30 and not marked
     entry = LIST_ENTRY.match(bare)
-    if entry or len(lines) > 1 and LIST_ENTRY.match(lines[-2]):
+    if "-" in p.stack:
         body = bare[entry.end() :] if entry else bare
         others = [LIST_ENTRY.sub("", x).strip() for x in lines[:-1] if LIST_ENTRY.match(x)]
         if ends_open(body) or not body:
