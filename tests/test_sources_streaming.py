@@ -83,9 +83,15 @@ def test_streams(spark, tmp_path):
     for i in range(4):
         df.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(src)
     seen = []
-    trigger = S.CountTrigger(10, lambda b, i: seen.append(b.count()))
+    trigger = S.CountTrigger(8, lambda b, i: seen.append(b.count()), str(tmp_path / "gathered"))
     trigger.start(stream(spark, src, schema), str(tmp_path / "cp1")).awaitTermination(60)
-    assert trigger.rows == 20 and trigger.runs == 2 and trigger.pending == 0
+    assert trigger.rows == 20 and seen == [10, 10] and trigger.pending(spark).count() == 0
+    again = S.CountTrigger(8, lambda b, i: seen.append(b.count()), str(tmp_path / "gathered"))  # after a restart
+    again(df.limit(5), 90)
+    again(df.limit(5), 90)
+    assert seen == [10, 10] and again.pending(spark).count() == 5
+    again(df.limit(4), 91)
+    assert seen == [10, 10, 9]
     S.append_log(stream(spark, src, schema), str(tmp_path / "log"), str(tmp_path / "cp2")).awaitTermination(60)
     log = spark.read.json(str(tmp_path / "log"))
     assert log.count() == 20 and "recorded_at" in log.columns

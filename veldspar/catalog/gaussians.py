@@ -11,6 +11,7 @@ from veldspar.functions import geometry as G
 from veldspar.functions import vectors as V
 from veldspar.operators import encoding, evaluation, retrieval, store, taxonomy
 from veldspar.operators.lexical import ranked
+from veldspar.plans import hybrid
 from veldspar.session import Workspace, table
 
 # the vectors, and the variances of the learned estimator
@@ -91,8 +92,7 @@ def elk_diag_rerank(spark, root):
     rows = gaussians(spark, root)
     q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "mu")
     near = retrieval.nearest(rows, q, 30, "l2", "vec_id").select("query_id", "vec_id")
-    both = near.join(asked(rows), "query_id").join(rows, "vec_id").withColumn("score", G.elk_diagonal("q_mu", "q_sigma", "mu", "sigma_diag"))
-    both = both.withColumn("weighted", F.col("score") * G.confidence(G.trace("sigma_diag"))).withColumn("o", F.round(-F.col("weighted"), 9))
+    both = hybrid.rerank(near.join(asked(rows), "query_id").join(rows, "vec_id"), "elk", "vec_id").withColumn("weighted", -F.col("sort_key")).withColumn("o", F.round("sort_key", 9))
     return ranked(both, ["query_id"], ["o", "vec_id"]).select("query_id", "vec_id", rounded("score").alias("score"), rounded("weighted").alias("weighted"), "rank")
 
 

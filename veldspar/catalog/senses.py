@@ -115,11 +115,24 @@ def session_list(spark, root):
     return table(spark, root, "chat_history").where("session_id is not null").groupBy("session_id").agg(F.countDistinct("turn_id").alias("turns"), F.unix_micros(F.max("ts")).alias("last_us"))
 
 
-@query("""WITH t AS (SELECT turn_id, session_id, min(ts) AS ts, min(lower(trim(coalesce(split_part(user_msg, ' ', 1), ''), ' '))) AS term FROM chat_history WHERE session_id IS NOT NULL AND user_msg IS NOT NULL GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY session_id, term ORDER BY ts, turn_id) AS n FROM t) SELECT turn_id, session_id, term, round(least(0.5 + 0.15 * (n - 1), 0.95), 6) + 0.0 AS confidence FROM b""")
+SAID = """WITH t AS (SELECT turn_id, min(user_msg) AS q, min(session_id) AS s FROM chat_history WHERE user_msg IS NOT NULL GROUP BY turn_id),
+x AS (SELECT turn_id, lower(split_part(q, ' ', 1)) AS term, s AS domain, lower(regexp_replace(trim(q), '\\s+', ' ', 'g')) AS q, round(0.2 + (turn_id % 80) / 100.0, 6) AS c FROM t)"""
+
+
+@query(SAID + """, k AS (SELECT * FROM x WHERE turn_id % 3 = 0) SELECT turn_id, round(CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.term = x.term AND (k.turn_id = x.turn_id + 3 AND x.turn_id % 3 = 0 OR k.domain = x.domain AND k.q = x.q)) THEN least(c + 0.15, greatest(0.95, c)) ELSE c END, 6) + 0.0 AS confidence FROM x""")
 def session_boost(spark, root):
-    """Confidence grows each time the same opening word recurs in a session, up to the cap."""
-    rows = table(spark, root, "chat_history").where("session_id is not null and user_msg is not null")
-    one = rows.groupBy("turn_id", "session_id").agg(F.min("ts").alias("ts"), F.min(F.lower(F.trim(F.split_part("user_msg", F.lit(" "), F.lit(1))))).alias("term"))
-    n = F.row_number().over(Window.partitionBy("session_id", "term").orderBy("ts", "turn_id"))
-    return one.select("turn_id", "session_id", "term", rounded(F.least(0.5 + 0.15 * (n - 1), F.lit(0.95))).alias("confidence"))
+    """Opening words as senses; those that the cache, every third turn under the id of the turn three before, holds already are raised."""
+    rows = table(spark, root, "chat_history").where("user_msg is not null").groupBy("turn_id").agg(F.min("user_msg").alias("retrieval_query"), F.min("session_id").alias("domain"))
+    rows = rows.select("turn_id", F.col("turn_id").alias("sense_id"), F.lower(F.split_part("retrieval_query", F.lit(" "), F.lit(1))).alias("term"), "domain", F.lit(1).alias("version"), "retrieval_query", F.round(0.2 + (F.col("turn_id") % 80) / 100, 6).alias("confidence"))
+    cached = rows.where("turn_id % 3 = 0").withColumn("sense_id", F.col("turn_id") - 3)
+    return senses.remember(rows, cached).select("turn_id", rounded("confidence").alias("confidence"))
+
+
+@query("""WITH s AS (SELECT session_id, max(ts) AS m FROM chat_history WHERE session_id IS NOT NULL GROUP BY session_id), b AS (SELECT *, min(session_id) OVER (PARTITION BY right(session_id, 1)) AS base FROM s)
+SELECT b.session_id, base AS base_id, epoch_us(s.m) AS base_us FROM b JOIN s ON s.session_id = base WHERE b.session_id <> base""")
+def session_branches(spark, root):
+    """Sessions as branches of the first one whose name ends alike."""
+    s = table(spark, root, "chat_history").where("session_id is not null").groupBy("session_id").agg(F.max("ts").alias("mtime"))
+    base = F.min("session_id").over(Window.partitionBy(F.right("session_id", F.lit(1))))
+    s = s.withColumn("base", base).select("session_id", "mtime", F.when(F.col("base") != F.col("session_id"), F.col("base")).alias("base_id"))
+    return store.branches(s).select("session_id", "base_id", F.unix_micros("base_mtime").alias("base_us"))

@@ -23,11 +23,21 @@ def texts(spark: SparkSession, values: Sequence[str], metadata: Sequence[dict] |
 def records(df: DataFrame, text_field: str, id_field: str | None = None, document_id: str = "record") -> DataFrame:
     """Rows with a text; every other field goes to the metadata.  Null and blank texts are dropped.
 
-    Without ``id_field`` ids are the name and the row's number in its partition order.
+    Without ``id_field`` ids are the name and the row's number, without gaps, in the order of the partitions; only the counts of these are collected.
     """
     others = [c for c in df.columns if c not in (text_field, id_field)]
     meta = F.map_filter(F.create_map(*[x for c in others for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]), lambda _, v: v.isNotNull()) if others else F.create_map().cast("map<string,string>")
-    key = F.col(id_field).cast("string") if id_field else F.concat(F.lit(f"{document_id}-"), F.monotonically_increasing_id().cast("string"))
+    if id_field:
+        key = F.col(id_field).cast("string")
+    else:
+        df = df.withColumn("_at", F.monotonically_increasing_id())
+        part = F.shiftright("_at", 33).cast("int")
+        counts = {r["p"]: r["n"] for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        before, run = {}, 0
+        for p in sorted(counts):
+            before[p], run = run, run + counts[p]
+        offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<int,int>")
+        key = F.concat(F.lit(f"{document_id}-"), (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(offset, part)).cast("string"))
     return df.where(F.trim(F.coalesce(F.col(text_field).cast("string"), F.lit(""))) != "").select(key.alias("document_id"), F.col(text_field).cast("string").alias("text"), meta.alias("metadata"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,23 +21,36 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, once: bool = True)
 
 
 class CountTrigger:
-    """Calls ``action`` with the rows gathered, once ``every`` or more of them are pending, after a micro-batch.
+    """Calls ``action`` with all rows gathered since the last call, once ``every`` or more of them are pending, after a micro-batch.
 
-    Micro-batches come one after another, so an action never runs beside itself.  The pending count is derived from the
-    log of batches kept by the query's own progress, not from the driver's memory, when ``pending`` is given on restart.
+    Micro-batches come one after another, so an action never runs beside itself.  Every batch is kept under ``path``, once however often it is retried, and what is pending is
+    counted from there, so a restarted stream goes on where the old one stopped; ``fired`` there names the last batch that an action has seen.
     """
 
-    def __init__(self, every: int, action: Callable[[DataFrame, int], None], pending: int = 0):
-        self.every, self.action, self.pending, self.runs, self.rows = every, action, pending, 0, 0
+    def __init__(self, every: int, action: Callable[[DataFrame, int], None], path: str):
+        self.every, self.action, self.path, self.runs, self.rows = every, action, path, 0, 0
+
+    def pending(self, spark: SparkSession) -> DataFrame | None:
+        """The rows that no action has seen."""
+        try:
+            seen = spark.read.parquet(f"{self.path}/fired").agg(F.max("batch_id")).first()[0]
+        except AnalysisException:
+            seen = -1
+        try:
+            return spark.read.parquet(f"{self.path}/batches").where(F.col("batch_id") > seen).drop("batch_id")
+        except AnalysisException:
+            return None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        n = batch.count()
-        self.rows += n
-        self.pending += n
-        if self.pending >= self.every:
-            self.pending = 0
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{self.path}/batches/batch_id={batch_id}")
+        rows = self.pending(spark)
+        n = rows.count() if rows is not None else 0
+        self.rows += batch.count()
+        if n >= self.every:
             self.runs += 1
-            self.action(batch, batch_id)
+            self.action(rows, batch_id)
+            spark.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/fired")
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
