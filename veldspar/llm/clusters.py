@@ -261,25 +261,30 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: flo
         dst, ww = np.concatenate([b[off], a[off]])[order], np.concatenate([w[off], w[off]])[order]
         ptr = np.searchsorted(src[order], np.arange(n + 1))
         degree = np.bincount(src, np.concatenate([w[off], w[off]]), minlength=n) + 2 * loops
-        com, total, moved_any = np.arange(n), degree.copy(), False
+        com, total, moved_any = list(range(n)), degree.tolist(), False
+        ends, weight, size = dst.tolist(), ww.tolist(), degree.tolist()
+        at = ptr.tolist()
         for _ in range(20):
             moved = 0
             for v in range(n):
-                s, e = ptr[v], ptr[v + 1]
+                s, e = at[v], at[v + 1]
                 if s == e:
                     continue
                 own = com[v]
                 links: dict[int, float] = {}
-                for u, x in zip(com[dst[s:e]].tolist(), ww[s:e].tolist()):
-                    links[u] = links.get(u, 0.0) + x
-                total[own] -= degree[v]
-                pull = degree[v] * resolution / m2
+                for i in range(s, e):
+                    u = com[ends[i]]
+                    links[u] = links.get(u, 0.0) + weight[i]
+                d = size[v]
+                total[own] -= d
+                pull = d * resolution / m2
                 best, gain = own, links.get(own, 0.0) - pull * total[own]
-                for c, x in sorted(links.items()):
-                    g = x - pull * total[c]
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                total[best] += degree[v]
+                if len(links) > 1 or own not in links:
+                    for c, x in sorted(links.items()):
+                        g = x - pull * total[c]
+                        if g > gain + 1e-12:
+                            best, gain = c, g
+                total[best] += d
                 if best != own:
                     com[v] = best
                     moved += 1
@@ -288,7 +293,7 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: flo
                 break
         if not moved_any:
             return label
-        names, com = np.unique(com, return_inverse=True)
+        names, com = np.unique(np.array(com), return_inverse=True)
         label = com[label]
         pair, inverse = np.unique(np.stack([np.minimum(com[a], com[b]), np.maximum(com[a], com[b])], 1), axis=0, return_inverse=True)
         w = np.bincount(inverse.reshape(-1), w)
