@@ -181,6 +181,9 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 UPPER, LOWER, DIGIT = re.compile(r"[^\W\d_a-zß-ÿа-я]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
+HARD = re.compile(r"[{}\[\]<>$%@#_«»|]")  # marks that a placeholder has, and much else
+
+
 def shape(token: str) -> str:
     """Letter case and punctuation of a token: ``__Name__`` has the shape ``__Aa__``."""
     if len(token) > 3 and len(set(token.lower())) == 1:
@@ -334,7 +337,7 @@ class Document:
 def training_rows(docs: list[tuple], grams: Grams, most: int = SAMPLE_SEGMENTS) -> tuple[list[np.ndarray], np.ndarray]:
     """Buckets and weak labels of ``(id, text, title)``: all segments that are not content, and content up to the bound.
 
-    A segment with the form of a placeholder gives the window around it as well, and other content a window at a place by its hash.
+    A segment with the form of a placeholder, or content with a mark that placeholders have, gives the windows around it as well, and other content a window at a place by its hash.
     """
     rare, common = [], []
     every = max(2, 16 * len(docs) // most)  # of the segments that are plainly content, one in so many
@@ -349,18 +352,19 @@ def training_rows(docs: list[tuple], grams: Grams, most: int = SAMPLE_SEGMENTS)
                 continue
             spots = _spots(s)
             turn = xxhash.xxh64_intdigest(f"{key} {i}")
-            if label == CONTENT and not spots and turn % every:
+            hard = [m.start() for m in HARD.finditer(s)] if label == CONTENT and not spots else []
+            if label == CONTENT and not spots and not hard and turn % every:
                 continue
             own = np.array(d.traits[i], np.int32)
             spans = [(start, end)]
             if d.sizes[i] > SPAN:
-                place = [len(TOKEN.findall(s[: m[0]])) for _, m in spots] or [turn // every % (d.sizes[i] - SPAN + 1) + 5]
+                place = [len(TOKEN.findall(s[:x])) for x in [m[0] for _, m in spots] + hard[:1]] or [turn // every % (d.sizes[i] - SPAN + 1) + 5]
                 # a text about a placeholder is content in whatever window it is seen, one with a placeholder in those that show what is before it
                 offsets = range(0, SPAN - 1, STEP) if label == CONTENT else range(4, 9, 2)
                 los = {max(0, min(x - o, d.sizes[i] - SPAN)) for x in place for o in offsets}
                 spans += [(start + lo, start + lo + SPAN) for lo in sorted(los)]
             for k, (lo, hi) in enumerate(spans):
-                (common if label == CONTENT and not spots else rare).append((turn, k, np.concatenate([own, d.grams[lo:hi].reshape(-1)]), label))
+                (common if label == CONTENT and not spots and not hard else rare).append((turn, k, np.concatenate([own, d.grams[lo:hi].reshape(-1)]), label))
     rare = sorted(rare, key=lambda r: r[:2])[: most // 2]
     common = sorted(common, key=lambda r: r[:2])[: min(most // 2, max(4000, 12 * len(rare)))]
     return [r[2] for r in rare + common], np.array([r[3] for r in rare + common], np.int64)
