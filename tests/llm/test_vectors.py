@@ -162,3 +162,133 @@ def test_every_row_has_its_nearest_without_a_limit(spark):
     root = "/root/testdata/sf0.001"
     rows = QUERIES["p1_neighbours"](spark, root).groupBy("id").count().collect()
     assert rows and all(r["count"] == 5 for r in rows)
+
+
+def batches_of(columns, names, size):
+    import pyarrow as pa
+
+    return pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches(max_chunksize=size)
+
+
+def small_groups(seed=5, groups=400):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    key = np.repeat(np.arange(groups), rng.integers(1, 15, groups))
+    x = rng.normal(size=(len(key), D)) + 3 * rng.normal(size=(groups, D))[key] / np.sqrt(D)
+    q, scale = V.quantise(x / np.linalg.norm(x, axis=1, keepdims=True), 1)
+    vec = V.pack_rows(np.hstack([q.view(np.uint8), scale.view(np.uint8)]))
+    return key, V.restore(q, scale), pa.array(key), pa.array(np.arange(len(key))), vec
+
+
+@pytest.mark.parametrize("step", ["start", "join"])
+def test_p6_small_groups_are_compared_many_at_a_time(monkeypatch, step):
+    import pyarrow as pa
+
+    from veldspar.llm import clusters as C
+
+    key, x, keys, ids, vec = small_groups()
+    worst = np.random.default_rng(1).uniform(0.3, 0.6, len(key)).astype(np.float32)
+    calls, decode = [], V.decode
+    monkeypatch.setattr(V, "decode", lambda *a: calls.append(1) or decode(*a))
+    columns, names = [keys, ids, vec], ["v", "rid", "vec"]
+    if step == "join":
+        columns, names = [*columns, pa.array(worst)], [*names, "worst"]
+    parts = batches_of(columns, names, 500)  # groups go on over the ends of batches
+    run = C._start(D, 1, 20, 0.4) if step == "start" else C._local_join(D, 1, 20, 0.4)
+    out = list(run(iter(parts)))
+    got = {(a, b) for o in out for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist())}
+    c = x @ x.T
+    least = 0.4 if step == "start" else np.maximum(worst, 0.4)[:, None]
+    same = (key[:, None] == key[None]) & ~np.eye(len(key), dtype=bool)
+    pairs = lambda m: set(zip(*(v.tolist() for v in np.nonzero(m & same))))
+    assert len(got) > 1000 and pairs(c > least + 1e-5) <= got <= pairs(c > least - 1e-5)
+    assert len(calls) <= len(parts) + 1
+
+
+def test_p6_start_keeps_the_best_of_a_large_bucket():
+    from veldspar.llm import clusters as C
+
+    _, x, keys, ids, vec = small_groups(9, 330)
+    one = batches_of([keys.take(np.zeros(len(x), int)), ids, vec], ["key", "rid", "vec"], 700)  # a run of more than one block of rows
+    assert len(x) > 2048
+    got = {}
+    for o in C._start(D, 1, 5, 0.1)(iter(one)):
+        for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist()):
+            got.setdefault(a, set()).add(b)
+    c = x @ x.T
+    np.fill_diagonal(c, -9)
+    for i, row in enumerate(c):
+        best = np.sort(row)[::-1]
+        sure = {int(j) for j in np.flatnonzero(row > max(best[5], 0.1) + 1e-5)}
+        assert sure <= got.get(i, set()) and len(got.get(i, set())) <= 6
+
+
+def test_p6_meetings_are_all_pairs_of_two_components():
+    from veldspar.llm import clusters as C
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    for comp in (rng.integers(0, 40, 900), np.where(np.arange(900) < 600, 7, np.arange(900)), np.full(900, 3)):
+        got = [(min(p), max(p)) for a, b, _ in C._meetings(x, comp, 2.0) for p in zip(a.tolist(), b.tolist())]
+        a, b = np.nonzero(np.triu(x @ x.T >= 2.0, 1) & (comp[:, None] != comp[None]))
+        assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist()))
+
+
+def test_p6_components_are_joined_by_the_links_between_them_alone(spark, monkeypatch):
+    from veldspar.llm import clusters as C
+
+    seen, real = [], C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda e, w: seen.append(e.count()) or real(e, w))
+    rng = np.random.default_rng(8)
+    u, v = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    x = np.array([c + rng.normal(scale=0.004, size=64) for c in (u, 0.86 * u + np.sqrt(1 - 0.86**2) * v) for _ in range(25)])
+    got = similarity_clusters(frame(spark, rows_of(x, np.full(x.shape, 0.01))), Workspace(spark, "t")).collect()
+    assert {(r.cluster_id, r.size) for r in got} == {("c00000", 50)}
+    assert len(seen) == 2 and seen[0] > 100 and seen[1] == 1  # two clumps, one link of them
+
+
+def test_p6_merged_components_and_rows_without_one(spark):
+    from veldspar.llm import clusters as C
+
+    comp = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node bigint, component bigint")
+    more = spark.createDataFrame([(2, 6, 1, 5), (6, 7, 5, 7), (3, 4, 3, 4)], "a bigint, b bigint, ca bigint, cb bigint")
+    got = {(r.node, r.component) for r in C._merged(comp, more, Workspace(spark, "t")).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 1), (8, 8), (9, 8), (3, 3), (4, 3)}
+
+
+def test_p6_lists_take_one_shuffle(spark):
+    from veldspar.llm import clusters as C
+
+    e = spark.range(1000).selectExpr("id % 50 as a", "id % 37 as b", "cast(id as float) as s")
+    best = C._best(e, 4)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for i in range(1000):
+        want.setdefault(i % 50, {})[i % 37] = i
+    assert {(r.a, r.b, int(r.s)) for r in best.collect()} == {(a, b, s) for a, m in want.items() for b, s in sorted(m.items(), key=lambda x: -x[1])[:4]}
+
+
+def test_louvain_of_several_graphs_is_that_of_each():
+    rng = np.random.default_rng(2)
+    node = rng.permutation(300) % 12  # graphs with their nodes mixed
+    a, b = np.array([(i, j) for i in range(300) for j in range(i + 1, 300) if node[i] == node[j] and rng.random() < 0.3]).T
+    w = rng.uniform(0.82, 1, len(a))
+    com = louvain(a, b, w, 300, graph=node)
+    for g in range(12):
+        mine = np.flatnonzero(node == g)
+        at = node[a] == g
+        alone = louvain(np.searchsorted(mine, a[at]), np.searchsorted(mine, b[at]), w[at], len(mine))
+        assert len(set(zip(com[mine].tolist(), alone.tolist()))) == len(set(com[mine].tolist())) == len(set(alone.tolist()))
+    assert all(len(set(node[com == c])) == 1 for c in set(com.tolist()))
+
+
+def test_fixed_binaries_of_slices_nulls_and_other_lengths():
+    import pyarrow as pa
+
+    rows = pa.array([b"ab", b"cd", b"ef"], pa.binary())
+    assert V.fixed(rows.slice(1), np.uint8, 2).tolist() == [[99, 100], [101, 102]]
+    assert V.fixed(rows.slice(3), np.uint8, 2).shape == (0, 2)
+    for bad in (pa.array([b"ab", None]), pa.array([b"ab", b"c"])):
+        with pytest.raises(Exception):
+            V.fixed(bad, np.uint8, 2)

@@ -39,25 +39,25 @@ def _start(width: int, halves: int, count: int, floor: float):
 
     def run(batches):
         out, n = [], 0
-        for _, k, vec in V.groups(batches):
-            m = len(k)
-            if m < 2:
-                continue
+        for starts, sizes, _, k, vec in V.blocks(batches):
             k = np.asarray(k)
             x = V.decode(vec, width, halves).astype(np.float32)
-            for s in range(0, m, 1024):
-                c = x[s : s + 1024] @ x.T
-                c[np.arange(len(c)), np.arange(s, s + len(c))] = -9
-                if m - 1 > count:
-                    edge = np.maximum(-np.partition(-c, count - 1, axis=1)[:, count - 1], floor)
-                else:
-                    edge = np.full(len(c), floor, np.float32)
-                a, b = np.nonzero(c >= edge[:, None])
-                out.append((k[a + s], k[b], c[a, b].astype(np.float32)))
-                n += len(a)
-            if n > 50_000:
-                yield _edges(out)
-                out, n = [], 0
+            for at in V.stacked(starts, sizes):
+                own, m = x[at], at.shape[1]
+                for s in range(0, m, 1024):
+                    c = own[:, s : s + 1024] @ own.transpose(0, 2, 1)
+                    i = np.arange(c.shape[1])
+                    c[:, i, s + i] = -9
+                    if m - 1 > count:
+                        edge = np.maximum(-np.partition(-c, count - 1, axis=2)[:, :, count - 1], np.float32(floor))
+                    else:
+                        edge = np.full(c.shape[:2], floor, np.float32)
+                    g, a, b = np.unravel_index(np.flatnonzero(c >= edge[:, :, None]), c.shape)
+                    out.append((k[at[g, a + s]], k[at[g, b]], c[g, a, b]))
+                    n += len(a)
+                if n > 50_000:
+                    yield _edges(out)
+                    out, n = [], 0
         if out:
             yield _edges(out)
 
@@ -77,20 +77,19 @@ def _local_join(width: int, halves: int, count: int, floor: float):
 
     def run(batches):
         out, n = [], 0
-        for _, k, vec, worst in V.groups(batches):
-            if len(k) < 2:
-                continue
-            k = np.asarray(k)
+        for starts, sizes, _, k, vec, worst in V.blocks(batches):
+            k, worst = np.asarray(k), np.maximum(np.asarray(worst), np.float32(floor))
             x = V.decode(vec, width, halves).astype(np.float32)
-            c = x @ x.T
-            np.fill_diagonal(c, -9)
-            a, b = np.nonzero(c > np.maximum(np.asarray(worst), np.float32(floor))[:, None])
-            a, b, s = _top(k[a], k[b], c[a, b], count)
-            out.append((a, b, s))
-            n += len(a)
-            if n > 50_000:
-                yield _edges([_top(*(np.concatenate(c) for c in zip(*out)), count)])
-                out, n = [], 0
+            for at in V.stacked(starts, sizes):
+                own, i = x[at], np.arange(at.shape[1])
+                c = own @ own.transpose(0, 2, 1)
+                c[:, i, i] = -9
+                g, a, b = np.unravel_index(np.flatnonzero(c > worst[at][:, :, None]), c.shape)
+                out.append((k[at[g, a]], k[at[g, b]], c[g, a, b]))
+                n += len(a)
+                if n > 50_000:
+                    yield _edges([_top(*(np.concatenate(c) for c in zip(*out)), count)])
+                    out, n = [], 0
         if out:
             yield _edges([_top(*(np.concatenate(c) for c in zip(*out)), count)])
 
@@ -98,7 +97,8 @@ def _local_join(width: int, halves: int, count: int, floor: float):
 
 
 def _best(edges: DataFrame, count: int) -> DataFrame:
-    e = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
+    """The ``count`` best of each a; one shuffle by a serves the maxima and the ranks."""
+    e = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
     return e.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= count).select("a", "b", "s")
 
 
@@ -124,27 +124,40 @@ def descent(store: V.Vectors, work: Workspace, count: int, floor: float, rounds:
     vec = store.some(work.cut(near.select("rid").distinct(), "nodes"))
     joined = near.join(vec, "rid").select("key", "rid", "vec").repartition("key").sortWithinPartitions("key")
     graph = work.cut(_best(joined.mapInArrow(_start(width, halves, count, floor), "a bigint, b bigint, s float"), count), "graph")
-    for _ in range(rounds):
+    for i in range(rounds):
         # a node's list, and those that list it, as many at most: the most similar ones first
         back = graph.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("s"), "a"))).where(F.col("r") <= count)
-        around = graph.select(F.col("a").alias("v"), F.col("b").alias("rid")).union(back.select(F.col("b").alias("v"), F.col("a").alias("rid"))).distinct()
+        around = graph.select(F.col("a").alias("v"), F.col("b").alias("rid")).union(back.select(F.col("b").alias("v"), F.col("a").alias("rid")))
+        around = around.repartition("rid").distinct()  # by rid, as the joins need it
         lists = graph.groupBy(F.col("a").alias("rid")).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
         lists = lists.select("rid", F.when(F.col("n") >= count, F.col("s")).otherwise(F.lit(floor)).cast("float").alias("worst"))
         sent = around.join(vec, "rid").join(lists, "rid", "left").fillna(floor, "worst").select("v", "rid", "vec", "worst").repartition("v").sortWithinPartitions("v")
         new = sent.mapInArrow(_local_join(width, halves, count, floor), "a bigint, b bigint, s float")
         better = work.cut(_best(new.unionByName(graph), count), "graph")
-        total = better.count()
-        changed = better.join(graph.select("a", "b"), ["a", "b"], "left_anti").count()
+        # nobody asks how much the last round changed
+        done = i + 1 == rounds or better.join(graph.select("a", "b"), ["a", "b"], "left_anti").count() <= settled * better.count()
         graph = better
-        if changed <= settled * total:
+        if done:
             break
     return graph
 
 
-def _apart(comp: np.ndarray) -> np.ndarray:
-    """Places outside the largest component of a bucket: every pair of two components has one of them."""
+def _meetings(x: np.ndarray, comp: np.ndarray, least: float):
+    """``(a, b, product)``: places of two rows of different components with a product of at least ``least``, each pair once.
+
+    Rows outside the largest component are compared with those that follow them, which end with that component: every pair
+    of two components has one of them.
+    """
     _, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-    return np.flatnonzero(inverse != sizes.argmax())
+    order, rest = np.argsort(inverse == sizes.argmax(), kind="stable"), len(comp) - sizes.max()
+    x, inverse = x[order], inverse[order]
+    for s in range(0, rest, 256):
+        c = (x[s : min(s + 256, rest)] @ x[s:].T).reshape(-1)
+        at = np.flatnonzero(c >= least)
+        a, b = np.divmod(at, len(x) - s)
+        ok = (a < b) & (inverse[a + s] != inverse[b + s])
+        if ok.any():
+            yield order[a[ok] + s], order[b[ok] + s], c[at[ok]]
 
 
 def _active_apart(radius: int):
@@ -152,25 +165,16 @@ def _active_apart(radius: int):
 
     def run(batches):
         out, n = [], 0
-        for key, k, code in V.groups(batches):
-            if len(k) < 2:
-                continue
+        for starts, sizes, keys, k, code in V.blocks(batches):
             raw = V.fixed(code, np.uint8, len(code[0].as_py()))
             comp = np.ascontiguousarray(raw[:, -8:]).view(">i8").reshape(-1).astype(np.int64)
-            rest = _apart(comp)
-            if not len(rest):
-                continue
-            c = np.unpackbits(raw[:, :-8], axis=1).astype(np.float32)
-            ones = c.sum(axis=1)
+            c = 1 - 2 * np.unpackbits(raw[:, :-8], axis=1).astype(np.float32)  # a product is the bits that agree less those that differ
             near = np.zeros(len(c), bool)
-            for s in range(0, len(rest), 1024):
-                r = rest[s : s + 1024]
-                hit = ones[r, None] + ones[None] - 2 * (c[r] @ c.T) <= radius + 0.5
-                hit &= comp[r, None] != comp[None]
-                near[r] |= hit.any(axis=1)
-                near |= hit.any(axis=0)
+            for s, e in zip(starts.tolist(), (starts + sizes).tolist()):
+                for a, b, _ in _meetings(c[s:e], comp[s:e], c.shape[1] - 2 * radius - 1):
+                    near[a + s] = near[b + s] = True
             if near.any():
-                out.append((np.asarray(k)[near], comp[near], np.full(int(near.sum()), key)))
+                out.append((np.asarray(k)[near], comp[near], keys[near]))
                 n += int(near.sum())
             if n > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["rid", "comp", "key"])
@@ -186,17 +190,10 @@ def _across(width: int, halves: int, similar: float):
 
     def run(batches):
         out, n = [], 0
-        for _, k, comp, vec in V.groups(batches):
+        for starts, sizes, _, k, comp, vec in V.blocks(batches):
             k, comp = np.asarray(k), np.asarray(comp)
-            rest = _apart(comp)
-            if not len(rest):
-                continue
             x = V.decode(vec, width, halves).astype(np.float32)
-            for s in range(0, len(rest), 1024):
-                r = rest[s : s + 1024]
-                c = x[r] @ x.T
-                a, b = np.nonzero((c >= similar - 1e-4) & (comp[r, None] != comp[None]))
-                v, a = c[a, b], r[a]
+            for a, b, v in ((a + s, b + s, v) for s, e in zip(starts.tolist(), (starts + sizes).tolist()) for a, b, v in _meetings(x[s:e], comp[s:e], similar - 1e-4)):
                 swap = comp[a] > comp[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
                 o = np.lexsort((b, a, -v, comp[b], comp[a]))
@@ -215,7 +212,7 @@ def _across(width: int, halves: int, similar: float):
 
 
 def across(store: V.Vectors, comp: DataFrame, work: Workspace, similar: float, missed: float) -> DataFrame:
-    """``(a, b, s)``: links of at least about ``similar`` between rows of different components, one of each two components and all at the limit.
+    """``(a, b, s, ca, cb)``: links of at least about ``similar`` between rows of different components, one of each two components and all at the limit.
 
     All rows take part, those without a neighbour as components of their own.  Substrings of hyperplane codes are four bits
     shorter than those of the start, and there are as many tables as leave a pair of just that cosine unmet with a
@@ -242,34 +239,48 @@ def across(store: V.Vectors, comp: DataFrame, work: Workspace, similar: float, m
     vec = store.some(work.cut(near.select("rid").distinct(), "nodes-apart"))
     joined = near.join(vec, "rid").select("key", "rid", "comp", "vec").repartition("key").sortWithinPartitions("key")
     found = work.cut(joined.mapInArrow(_across(width, halves, similar), "a bigint, b bigint, ca bigint, cb bigint, s float"), "across")
-    sure = found.where(F.col("s") >= similar + 1e-4).groupBy("ca", "cb").agg(F.max(F.struct("s", "a", "b")).alias("m")).select("m.a", "m.b", "m.s")
-    out = sure.unionByName(found.where(F.col("s") < similar + 1e-4).select("a", "b", "s"))
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+    sure = found.where(F.col("s") >= similar + 1e-4).groupBy("ca", "cb").agg(F.max(F.struct("s", "a", "b")).alias("m")).select("m.a", "m.b", "m.s", "ca", "cb")
+    out = sure.unionByName(found.where(F.col("s") < similar + 1e-4))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "ca", "cb").groupBy("a", "b", "ca", "cb").agg(F.max("s").alias("s"))
 
 
-def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0) -> np.ndarray:
-    """Communities of an undirected weighted graph by moves that raise modularity, level after level (Blondel et al. 2008)."""
+def _merged(comp: DataFrame, more: DataFrame, work: Workspace) -> DataFrame:
+    """Components after links between them, ``more`` with ``(ca, cb)``: the joined components are the nodes, rows without a component their own."""
+    joined = work.cut(connected_components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), work), "joined")
+    old = comp.join(joined.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return old.unionByName(joined.join(comp.select("node"), "node", "left_anti"))
+
+
+def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float = 1.0, graph: np.ndarray | None = None) -> np.ndarray:
+    """Communities of an undirected weighted graph by moves that raise modularity, level after level (Blondel et al. 2008).
+
+    ``graph`` names the graph of each node where there are several without links between them: each is moved as if alone.
+    """
     label = np.arange(n)
-    while True:
-        m2 = 2 * w.sum()
-        if not m2:
-            return label
+    graph = np.zeros(n, int) if graph is None else graph
+    live = np.ones(graph.max() + 1 if n else 0, bool)
+    while live.any():
+        whole = 2 * np.bincount(graph[a], w, minlength=len(live))
+        m2 = np.where(whole > 0, whole, 1)[graph].tolist()
         loops = np.bincount(a[a == b], w[a == b], minlength=n)
         off = a != b
         src = np.concatenate([a[off], b[off]])
         order = np.argsort(src, kind="stable")
         dst, ww = np.concatenate([b[off], a[off]])[order], np.concatenate([w[off], w[off]])[order]
-        ptr = np.searchsorted(src[order], np.arange(n + 1))
         degree = np.bincount(src, np.concatenate([w[off], w[off]]), minlength=n) + 2 * loops
-        com, total, moved_any = list(range(n)), degree.tolist(), False
+        src = src[order]
+        com, total = list(range(n)), degree.tolist()
         ends, weight, size = dst.tolist(), ww.tolist(), degree.tolist()
-        at = ptr.tolist()
+        at = np.searchsorted(src, np.arange(n + 1)).tolist()
+        ever, lively = np.zeros(len(live), bool), live
         for _ in range(20):
-            moved = 0
-            for v in range(n):
-                s, e = at[v], at[v + 1]
-                if s == e:
+            now, mixed = np.array(com), np.zeros(n, bool)
+            mixed[src[now[src] != now[dst]]] = True
+            mixed, moved = mixed.tolist(), []  # a node all of whose neighbours share its community stays, unless one of them moves before
+            for v in np.flatnonzero(lively[graph]).tolist():
+                if not mixed[v]:
                     continue
+                s, e = at[v], at[v + 1]
                 own = com[v]
                 links: dict[int, float] = {}
                 for i in range(s, e):
@@ -277,7 +288,7 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: flo
                     links[u] = links.get(u, 0.0) + weight[i]
                 d = size[v]
                 total[own] -= d
-                pull = d * resolution / m2
+                pull = d * resolution / m2[v]
                 best, gain = own, links.get(own, 0.0) - pull * total[own]
                 if len(links) > 1 or own not in links:
                     for c, x in sorted(links.items()):
@@ -287,27 +298,34 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: flo
                 total[best] += d
                 if best != own:
                     com[v] = best
-                    moved += 1
-            moved_any |= moved > 0
+                    moved.append(v)
+                    for i in range(s, e):
+                        mixed[ends[i]] = True
+            lively = np.zeros(len(live), bool)
+            lively[graph[moved]] = True
+            ever |= lively
             if not moved:
                 break
-        if not moved_any:
-            return label
+        live = ever
+        if not live.any():
+            break
         names, com = np.unique(np.array(com), return_inverse=True)
-        label = com[label]
-        pair, inverse = np.unique(np.stack([np.minimum(com[a], com[b]), np.maximum(com[a], com[b])], 1), axis=0, return_inverse=True)
-        w = np.bincount(inverse.reshape(-1), w)
-        a, b, n = pair[:, 0], pair[:, 1], len(names)
+        label, graph = com[label], graph[names]
+        pair, inverse = np.unique(np.minimum(com[a], com[b]) * len(names) + np.maximum(com[a], com[b]), return_inverse=True)
+        w = np.bincount(inverse, w)
+        a, b, n = pair // len(names), pair % len(names), len(names)
+    return label
 
 
 def _communities(batches):
     """Per run of one component: its communities, and each node's weighted degree within its own."""
-    for _, ab, s in V.groups(batches):
-        ab = np.frombuffer(b"".join(ab.to_pylist()), ">i8").reshape(-1, 2).astype(np.int64)
-        nodes, flat = np.unique(ab, return_inverse=True)
+    for starts, sizes, _, ab, s in V.blocks(batches):
+        nodes, flat = np.unique(V.fixed(ab, ">i8", 2).astype(np.int64), return_inverse=True)
         flat = flat.reshape(-1, 2)
         w = np.asarray(s).astype(np.float64)
-        com = louvain(flat[:, 0], flat[:, 1], w, len(nodes))
+        graph = np.empty(len(nodes), int)
+        graph[flat[:, 0]] = graph[flat[:, 1]] = np.repeat(np.arange(len(starts)), sizes)
+        com = louvain(flat[:, 0], flat[:, 1], w, len(nodes), graph=graph)
         inner = com[flat[:, 0]] == com[flat[:, 1]]
         degree = np.bincount(flat[inner].reshape(-1), np.repeat(w[inner], 2), minlength=len(nodes))
         lead = np.full(com.max() + 1, np.iinfo(np.int64).max)
@@ -407,8 +425,8 @@ def similarity_clusters(
     comp = work.cut(connected_components(links, work), "components")
     more = work.cut(_exact(across(store, comp, work, similar, missed), store, df, key, version, similar, work), "links-across")
     if not more.isEmpty():
-        links = work.cut(links.unionByName(more), "links")
-        comp = work.cut(connected_components(links, work), "components")
+        links = links.unionByName(more.select("a", "b", "s"))
+        comp = work.cut(_merged(comp, more, work), "components")
     # members: every id of a vector, by its class
     node = store.heads.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     members = store.names.select("id", "cls").join(node, "cls").withColumnRenamed("rid", "k")
@@ -439,5 +457,5 @@ def _exact(links: DataFrame, store: V.Vectors, df: DataFrame, key: str, version:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     both = edge.join(last.select(F.col("rid").alias("a"), "x"), "a").join(last.select(F.col("rid").alias("b"), F.col("x").alias("y")), "b")
     cosine = dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))
-    kept = both.where(cosine >= similar).select("a", "b", "s")
+    kept = both.where(cosine >= similar).select(links.columns)
     return links.where(F.col("s") >= similar + 1e-4).unionByName(kept)
